@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, quality
+from . import linededup, packing, quality, simhash
 from .common import table
 
 
@@ -14,6 +14,8 @@ def queries() -> dict:
     return {
         "op4_quality_rules": _docs(quality.op4),
         "op6_line_dedup": _docs(linededup.op6),
+        "op9_best_fit_packing": _docs(packing.op9),
+        "op10_simhash_near_dedup": _docs(simhash.op10),
     }
 
 
