@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, packing, quality, simhash
+from . import fingerprints, linededup, packing, quality, simhash
 from .common import table
 
 
@@ -12,6 +12,7 @@ def _docs(f):
 
 def queries() -> dict:
     return {
+        "op1_document_fingerprints": _docs(fingerprints.op1),
         "op4_quality_rules": _docs(quality.op4),
         "op6_line_dedup": _docs(linededup.op6),
         "op9_best_fit_packing": _docs(packing.op9),
