@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, linededup, packing, quality, simhash
+from . import fingerprints, langid, linededup, lm, packing, pii, quality, simhash
 from .common import table
 
 
@@ -14,7 +14,10 @@ def queries() -> dict:
     return {
         "op1_document_fingerprints": _docs(fingerprints.op1),
         "op4_quality_rules": _docs(quality.op4),
+        "op5_lm_scoring": _docs(lm.op5),
         "op6_line_dedup": _docs(linededup.op6),
+        "op7_language_id": _docs(langid.op7),
+        "op8_pii": _docs(pii.op8),
         "op9_best_fit_packing": _docs(packing.op9),
         "op10_simhash_near_dedup": _docs(simhash.op10),
     }
