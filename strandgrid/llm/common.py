@@ -35,6 +35,27 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with at least this share of all rows is joined by broadcast: there are at most so many.
+HOT_SHARE = 2000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, n: str, spread: Column) -> DataFrame:
+    """Inner join of rows with keyed on key, no key's rows all in one task.
+
+    keyed has one row for each key, and in n how many rows have it; it is read twice, so write it
+    first. Keys with 1 / HOT_SHARE of all rows, HOT_SHARE at most, are broadcast, and their
+    rows stay where they are or are dealt by ``spread``; the other keys are shuffled.
+    """
+    total = keyed.agg(F.sum(n).alias("n")).first()["n"] or 0
+    hot = F.col(n) * HOT_SHARE >= F.lit(total)
+    others = [c for c in keyed.columns if c != key]
+    few = keyed.where(hot).select(F.col(key).alias("__hot"), F.struct(*others).alias("__few"))
+    many = keyed.where(~hot).select(F.col(key).alias("__many"), F.struct(*others).alias("__found"))
+    marked = rows.join(F.broadcast(few), F.col(key) == F.col("__hot"), "left").withColumn("__by", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(spread))
+    found = marked.join(many, (F.col("__by") == F.col("__many")) & F.col("__hot").isNull(), "left").withColumn("__found", F.coalesce("__few", "__found")).where("__found IS NOT NULL")
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"__found.{c}").alias(c) for c in others])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
