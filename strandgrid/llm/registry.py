@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, langid, linededup, lm, packing, pii, quality, simhash, substring
+from . import fingerprints, langid, linededup, lm, packing, pii, quality, sentencepiece_scan, simhash, substring
 from .common import table
 
 
@@ -13,6 +13,7 @@ def _docs(f):
 def queries() -> dict:
     return {
         "op1_document_fingerprints": _docs(fingerprints.op1),
+        "op2_sentencepiece": _docs(sentencepiece_scan.op2),
         "op3_substring_dedup": _docs(substring.op3),
         "op4_quality_rules": _docs(quality.op4),
         "op5_lm_scoring": _docs(lm.op5),
