@@ -84,12 +84,14 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn(_P + "repeat", F.coalesce(covered, F.lit(0)))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     n, lines = col("n"), col("n_lines")
-    return df.withColumn("__q", F.struct(
+    # always true, but not deterministic: a filter above must not be pushed below, where all steps would be repeated in it
+    once = F.monotonically_increasing_id() >= 0
+    return df.withColumn("__q", F.when(once, F.struct(
         n.cast("long").alias("n_words"), col("chars").cast("long").alias("word_chars"), col("symbols").cast("long").alias("n_symbols"),
         col("n_dup").cast("long").alias("n_dup_lines"), col("repeat").cast("long").alias("n_repeat_words"),
         share(col("repeat"), n).alias("repeat_ratio"), share(col("chars"), n).alias("mean_word_length"), share(col("symbols"), n).alias("symbol_ratio"),
         share(col("stop"), n).alias("stop_ratio"), share(col("n_dup"), lines).alias("dup_line_ratio"), share(col("bullets"), lines).alias("bullet_ratio"), share(col("ellipses"), lines).alias("ellipsis_ratio"),
-    )).drop(*[c for c in df.columns if c.startswith(_P)])
+    ))).drop(*[c for c in df.columns if c.startswith(_P)])
 
 
 def compile_rules(rules=RULES, at: str = "__q") -> Column:
