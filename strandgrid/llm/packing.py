@@ -18,7 +18,9 @@ are packed one by one; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,9 +36,9 @@ END = (0).to_bytes(4, "little")
 PIECES_PER_PARTITION = 8192
 ROUNDS = 4
 CACHE_WORDS, CACHE_BYTES = 600_000, 48  # entries, and the longest word kept
-_BATCH = 256
+CACHE_TAILS = 10_000
 
-_tokens: dict[str, tuple] = {}
+_tokens: dict[str, Words] = {}
 
 
 def default_tokenizer() -> str:
@@ -45,35 +47,77 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _tokenizer(path: str):
-    if path not in _tokens:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+class Words(dict):
+    """Ids of white-space separated parts of texts, little-endian unsigned 32-bit, found when first asked for.
+
+    A part of letters below U+0250, then ASCII punctuation without an apostrophe, is two
+    pieces for the tokenizer; the first one's merges run in a byte-pair encoder of the same
+    ranks, whose marker byte 0xFF stands for the end of a word. All others go to the tokenizer itself.
+    """
+
+    _simple = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
+
+    def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        _tokens[path] = (Tokenizer.from_file(path), {})
-    return _tokens[path]
+        super().__init__()
+        self.tok = Tokenizer.from_file(path)
+        with open(path) as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+        byte = {c: b for b, c in shown.items()}
+        ranks: dict[bytes, int] = {}
+        ids: list[int] = []
+
+        def add(token: str) -> None:
+            stem = token.removesuffix("</w>")
+            ranks[bytes(byte[c] for c in stem) + b"\xff" * (stem != token)] = len(ids)
+            ids.append(vocab[token])
+
+        for b in range(256):
+            add(shown[b] + "</w>")
+        for pair in model["merges"]:
+            add("".join(pair if isinstance(pair, list) else pair.split(" ")))
+        for b in range(256):
+            add(shown[b])
+        self.ids = np.array(ids, "<u4")
+        self.merge = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.tails = {"": b""}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, part: bytes) -> bytes:
+        text = part.decode("utf-8", "replace")
+        m = self._simple.fullmatch(text)
+        low = m[1].lower() if m else ""
+        if m and len(low) == len(m[1]):
+            found = self.ids[self.merge(low.encode() + b"\xff")].tobytes()
+            tail = self.tails.get(m[2])
+            if tail is None:
+                tail = self.whole(m[2])
+                if len(self.tails) < CACHE_TAILS and len(part) <= CACHE_BYTES:
+                    self.tails[m[2]] = tail
+            found += tail
+        else:
+            found = self.whole(text)
+        if len(self) < CACHE_WORDS and len(part) <= CACHE_BYTES:
+            self[part] = found
+        return found
 
 
 def ids_of(texts: list[bytes], path: str) -> Iterator[bytes]:
     """The ids of each text, as little-endian unsigned 32-bit numbers."""
-    tok, cache = _tokenizer(path)
-    for at in range(0, len(texts), _BATCH):
-        split = [t.split() for t in texts[at : at + _BATCH]]
-        new = [w for w in set().union(*split) if w not in cache]
-        own = {}
-        if new:
-            found = tok.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            own = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found, strict=True)}
-            room = CACHE_WORDS - len(cache)
-            if room > 0:
-                for w in new[:room] if len(new) > room else new:
-                    if len(w) <= CACHE_BYTES:
-                        cache[w] = own.pop(w)
-        for words in split:
-            if own:
-                yield b"".join([own[w] if w in own else cache[w] for w in words])
-            else:
-                yield b"".join([cache[w] for w in words])
+    if path not in _tokens:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _tokens[path] = Words(path)
+    look = _tokens[path].__getitem__
+    for t in texts:
+        yield b"".join(map(look, t.split()))
 
 
 def _pieces(path: str, capacity: int, with_ids: bool):
