@@ -9,9 +9,8 @@
 3. Digests found in at least two documents are confirmed exactly; the smallest
    doc_id holding one keeps its lines, the others lose theirs.
 
-The filter grows with the number of lines up to ``MAX_BITS``; beyond, more lines
-are suspected and shuffled, and the result stays the same. Bits are counted twice
-when two different keys share them, never the other way: no repeat is missed.
+The filter grows with the number of lines up to a greatest size; beyond, more lines
+are suspected and shuffled, and the result stays the same (see bloomfilter.py).
 
 Defined cases: a null or empty text is one empty line; keys shorter than
 ``min_chars`` code points stay; rows of the same doc_id count as one document (a null
@@ -31,13 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_BYTES, lower_bytes
+from .bloomfilter import filter_bits, suspected, twice_seen
+from .common import WS_BYTES, cut, join_counted, lower_bytes
 
 MIN_CHARS = 10
 BITS_PER_LINE = 32
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 30  # the largest filter has 128 MB
-BLOCK_BITS = 1 << 16
-N_HASHES = 2
 
 
 def line_key(line: bytes) -> bytes:
@@ -58,101 +55,13 @@ def eligible_keys(text: str | None, min_chars: int) -> list[tuple[int, bytes]]:
     return out
 
 
-def _bits(keys: list[bytes], n_bits: int) -> np.ndarray:
-    """Places in the filter, a row for each key."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(h + np.uint64(i) * step) & np.uint64(n_bits - 1) for i in range(N_HASHES)], axis=1)
+def key_hashes(keys) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
 
 
-def _report(n_bits: int, min_chars: int):
-    schema = pa.schema([("block", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(n_bits, bool) if n_bits <= 1 << 24 else None, None
-        if once is not None:
-            twice = np.zeros(n_bits, bool)
-        seen: list[np.ndarray] = []
-        again: list[np.ndarray] = []
-
-        def take(places: np.ndarray) -> None:
-            u, c = np.unique(places, return_counts=True)
-            if once is None:
-                seen.append(u)
-                again.append(u[c > 1])
-                if len(seen) > 64:
-                    fold()
-            else:
-                twice[u[(c > 1) | once[u]]] = True
-                once[u] = True
-
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            u, c = np.unique(np.concatenate(seen or [np.empty(0, np.uint64)]), return_counts=True)
-            two = np.unique(np.concatenate([u[c > 1], *again]))
-            seen[:], again[:] = [u], [two]
-            return u, two
-
-        for b in batches:
-            keys: list[bytes] = []
-            for text in b.column(0).to_pylist():
-                keys += {k for _, k in eligible_keys(text, min_chars)}  # once for each document
-            if keys:
-                take(_bits(keys, n_bits).ravel())
-        u, two = fold() if once is None else (np.flatnonzero(once).astype(np.uint64), np.flatnonzero(twice).astype(np.uint64))
-        if not len(u):
-            return
-        block = u // BLOCK_BITS
-        names, starts = np.unique(block, return_index=True)
-        ends = np.append(starts[1:], len(u))
-        t0, t1 = np.searchsorted(two, names * np.uint64(BLOCK_BITS)), np.searchsorted(two, (names + np.uint64(1)) * np.uint64(BLOCK_BITS))
-        low = lambda x: (x % np.uint64(BLOCK_BITS)).astype("<u2").tobytes()
-        for a in range(0, len(names), 4096):
-            z = slice(a, a + 4096)
-            yield pa.record_batch([
-                pa.array(names[z].astype(np.int64)),
-                pa.array([low(u[s:e]) for s, e in zip(starts[z], ends[z], strict=True)], pa.binary()),
-                pa.array([low(two[s:e]) for s, e in zip(t0[z], t1[z], strict=True)], pa.binary()),
-            ], schema=schema)
-
-    return run
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of block: the twice-seen places of each block."""
-    schema = pa.schema([("block", pa.int64()), ("twice", pa.binary())])
-    block, count = None, np.zeros(BLOCK_BITS, np.uint8)
-
-    def out() -> pa.RecordBatch:
-        return pa.record_batch([pa.array([block], pa.int64()), pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())], schema=schema)
-
-    for b in batches:
-        for k, once, twice in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            if k != block:
-                if block is not None and (count > 1).any():
-                    yield out()
-                block, count = k, np.zeros(BLOCK_BITS, np.uint8)
-            o, t = np.frombuffer(once, "<u2"), np.frombuffer(twice, "<u2")
-            count[o] = np.minimum(count[o] + 1, 2)
-            count[t] = 2
-    if block is not None and (count > 1).any():
-        yield out()
-
-
-def filter_bits(n_lines: int) -> int:
-    """A power of two, BITS_PER_LINE for each line, within MIN_BITS and MAX_BITS."""
-    return min(MAX_BITS, max(MIN_BITS, 1 << max(0, (n_lines * BITS_PER_LINE - 1)).bit_length()))
-
-
-def twice_seen(docs: DataFrame, n_bits: int, min_chars: int) -> bytes:
-    """The twice-seen filter, n_bits / 8 bytes at most MAX_BITS / 8."""
-    rows = docs.select("text").mapInArrow(_report(n_bits, min_chars), "block long, once binary, twice binary")
-    parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_bits // BLOCK_BITS))
-    merged = rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_merge, "block long, twice binary")
-    whole = bytearray(n_bits // 8)
-    for r in merged.toLocalIterator():
-        at = r["block"] * (BLOCK_BITS // 8)
-        whole[at : at + BLOCK_BITS // 8] = r["twice"]
-    return bytes(whole)
+def _hashes(min_chars: int):
+    """Of texts: the hashes of their keys, each once for each text."""
+    return lambda texts: key_hashes([k for t in texts for k in {k for _, k in eligible_keys(t, min_chars)}])
 
 
 def _suspects(bloom, n_bits: int, min_chars: int):
@@ -168,8 +77,7 @@ def _suspects(bloom, n_bits: int, min_chars: int):
                 ids += [i] * len(own)
             if not keys:
                 continue
-            at = _bits(keys, n_bits)
-            hit = ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+            hit = suspected(bits, key_hashes(keys), n_bits)
             yield pa.record_batch([pa.array([i for i, x in zip(ids, hit, strict=True) if x], pa.int64()), pa.array([xxhash.xxh3_128_digest(k) for k, x in zip(keys, hit, strict=True) if x], pa.binary())], schema=schema)
 
     return run
@@ -200,12 +108,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs (doc_id, text, ...) without repeated lines, plus __n_lines and __n_dropped; the text is null where it was null and lost nothing."""
     spark = docs.sparkSession
     n_lines = docs.select(F.sum(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).alias("n")).first()["n"] or 0
-    n_bits = filter_bits(n_lines)
-    bloom = spark.sparkContext.broadcast(twice_seen(docs, n_bits, min_chars))
+    n_bits = filter_bits(n_lines, BITS_PER_LINE)
+    bloom = spark.sparkContext.broadcast(twice_seen(docs.select("text"), n_bits, _hashes(min_chars)))
     suspects = docs.select("doc_id", "text").mapInArrow(_suspects(bloom, n_bits, min_chars), "doc_id long, digest binary")
-    first = suspects.groupBy("digest").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nameless"))
-    repeated = first.where((F.col("keep") < F.col("last")) | (F.col("nameless") & F.col("keep").isNotNull())).select("digest", F.when(~F.col("nameless"), F.col("keep")).alias("keep"))
-    lost = suspects.join(repeated, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keep")))
+    first = suspects.groupBy("digest").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nameless"), F.count("*").alias("holders"))
+    repeated = first.where((F.col("keep") < F.col("last")) | (F.col("nameless") & F.col("keep").isNotNull())).select("digest", F.when(~F.col("nameless"), F.col("keep")).alias("keep"), "holders")
+    spread = F.xxhash64("doc_id").cast("string").cast("binary")
+    lost = join_counted(suspects, cut(repeated), "digest", "holders", spread).where(~F.col("doc_id").eqNullSafe(F.col("keep")))
     drops = lost.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("digest").alias("__drop"))
     found = docs.join(drops, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
