@@ -106,32 +106,41 @@ def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("ascii", "replace"), np.uint8)
 
 
-def local_score(query: str, target: str) -> int:
-    """Best Smith-Waterman score, affine gaps: a gap of n bases costs open + (n - 1) extend; N scores 0 against all.
+def local_scores(queries: list[str], targets: list[str], at_once: int = 128) -> np.ndarray:
+    """Best Smith-Waterman score of each pair, affine gaps: a gap of n bases costs open + (n - 1) extend; N scores 0 against all.
 
-    Anti-diagonals are whole-array steps, so that no cell waits for its neighbour.
+    Pairs of like size go together, filled up with bases that match nothing; anti-diagonals of
+    all their matrices are whole-array steps, so that no cell waits for its neighbour.
     """
-    q, t = _codes(query), _codes(target)
-    m, n = len(q), len(t)
-    if not m or not n:
-        return 0
-    low = -(1 << 30)
-    h1, h2 = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)  # the last and the last but one diagonal, by row
-    e1, f1 = np.full(m + 1, low), np.full(m + 1, low)
-    best = 0
-    for d in range(2, m + n + 1):
-        i = np.arange(max(1, d - n), min(m, d - 1) + 1)
-        a, b = q[i - 1], t[d - i - 1]
-        s = np.where((a == 78) | (b == 78), 0, np.where(a == b, MATCH, MISMATCH))
-        e = np.maximum(e1[i] - GAP_EXTEND, h1[i] - GAP_OPEN)
-        f = np.maximum(f1[i - 1] - GAP_EXTEND, h1[i - 1] - GAP_OPEN)
-        h = np.maximum(np.maximum(h2[i - 1] + s, 0), np.maximum(e, f))
-        best = max(best, int(h.max()))
-        h2, h1 = h1, np.zeros(m + 1, np.int64)
-        h1[i] = h
-        e1, f1 = np.full(m + 1, low), np.full(m + 1, low)
-        e1[i], f1[i] = e, f
-    return best
+    out = np.zeros(len(queries), np.int64)
+    size = [len(q) + len(t) for q, t in zip(queries, targets, strict=True)]
+    order = sorted(range(len(queries)), key=size.__getitem__)
+    low = np.int32(-(1 << 29))
+    for at in range(0, len(order), at_once):
+        own = order[at : at + at_once]
+        m, n = max(len(queries[i]) for i in own), max(len(targets[i]) for i in own)
+        if not m or not n:
+            continue
+        q = np.stack([_codes(queries[i].ljust(m, "<")) for i in own])
+        t = np.stack([_codes(targets[i].ljust(n, ">")) for i in own])[:, ::-1]
+        h1 = np.zeros((len(own), m + 1), np.int32)  # the last diagonal by row, and the one before it
+        h2, best = h1.copy(), np.zeros(len(own), np.int32)
+        e1, f1 = np.full_like(h1, low), np.full_like(h1, low)
+        for d in range(2, m + n + 1):
+            i0, i1 = max(1, d - n), min(m, d - 1) + 1
+            a, b = q[:, i0 - 1 : i1 - 1], t[:, n - d + i0 : n - d + i1]
+            s = np.where(a == b, np.int32(MATCH), np.int32(MISMATCH))
+            s[(a == 78) | (b == 78)] = 0
+            e = np.maximum(e1[:, i0:i1] - GAP_EXTEND, h1[:, i0:i1] - GAP_OPEN)
+            f = np.maximum(f1[:, i0 - 1 : i1 - 1] - GAP_EXTEND, h1[:, i0 - 1 : i1 - 1] - GAP_OPEN)
+            h = np.maximum(np.maximum(h2[:, i0 - 1 : i1 - 1] + s, 0), np.maximum(e, f))
+            np.maximum(best, h.max(axis=1), out=best)
+            h2, h1 = h1, np.zeros_like(h1)
+            h1[:, i0:i1] = h
+            e1, f1 = np.full_like(h1, low), np.full_like(h1, low)
+            e1[:, i0:i1], f1[:, i0:i1] = e, f
+        out[own] = best
+    return out
 
 
 def global_cost(a: str, b: str, match: float = -1.0, mismatch: float = 0.5, gap: float = 0.6) -> float:
@@ -149,7 +158,10 @@ def global_cost(a: str, b: str, match: float = -1.0, mismatch: float = 0.5, gap:
 
 @F.pandas_udf(LongType())
 def smith_waterman(query: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([local_score(q, t) if q is not None and t is not None else None for q, t in zip(query, target, strict=True)], dtype="Int64")
+    known = (query.notna() & target.notna()).to_numpy()
+    out = pd.Series([None] * len(query), dtype="Int64")
+    out[known] = local_scores(query[known].to_list(), target[known].to_list())
+    return out
 
 
 @F.pandas_udf(DoubleType())

@@ -6,7 +6,7 @@ expression and runs in the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Base codes 0 to 4, by place.
@@ -57,8 +57,35 @@ def window_starts(seq: Column | str, k: int, gap: int = 1, drop_last: bool = Fal
     return F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(gap))).otherwise(F.array().cast("array<int>"))
 
 
+#: A place in a string is found by counting from its start, so long sequences go in pieces of pieces.
+PIECE, BLOCK = 8192, 128
+
+
+def with_blocks(rows: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """rows without seq, a row for each block: __n (length of the sequence), __at, __part (its windows of k bases begin in the block)."""
+    if k - 1 > PIECE:
+        raise ValueError(f"windows have at most {PIECE + 1} bases")
+    keep = [c for c in rows.columns if c != seq]
+    pieces = rows.withColumn("__n", F.length(seq)).withColumn("__p", F.regexp_extract_all(F.col(seq), F.lit("(?s).{1,%d}" % PIECE), F.lit(0)))
+    one = pieces.select(*keep, "__n", F.posexplode(F.transform("__p", lambda p, j: F.concat(p, F.substring(F.coalesce(F.get("__p", j + 1), F.lit("")), 1, k - 1)))).alias("__j", "__t"))
+    starts = F.sequence(F.lit(0), F.least(F.col("__n") - F.col("__j") * PIECE, F.lit(PIECE)) - 1, F.lit(BLOCK))
+    small = F.explode(F.transform(starts, lambda b: F.struct((F.col("__j") * PIECE + b).alias("at"), F.substring("__t", b + 1, F.lit(BLOCK + k - 1)).alias("part")))).alias("__b")
+    return one.select(*keep, "__n", small).select(*keep, "__n", F.col("__b.at").alias("__at"), F.col("__b.part").alias("__part"))
+
+
+def explode_kmers(rows: DataFrame, k: int, gap: int = 1, seq: str = "seq", drop_last: bool = False) -> DataFrame:
+    """rows without seq, a row for each window: pos (0-based, every gap bases) and kmer. Sequences may be of any length."""
+    cut = with_blocks(rows, k, seq)
+    keep = [c for c in cut.columns if not c.startswith("__")]
+    first = F.ceil(F.col("__at") / gap).cast("int") * gap
+    last = F.least(F.col("__at") + BLOCK - 1, F.col("__n") - k - (1 if drop_last else 0))
+    here = F.when(first <= last, F.sequence(first, last, F.lit(gap))).otherwise(F.array().cast("array<int>"))
+    w = F.explode(F.transform(here, lambda p: F.struct(p.alias("pos"), F.substring("__part", p - F.col("__at") + 1, F.lit(k)).alias("kmer")))).alias("__w")
+    return cut.select(*keep, w).select(*keep, "__w.pos", "__w.kmer")
+
+
 def kmers(seq: Column | str, k: int, gap: int = 1, drop_last: bool = False) -> Column:
-    """Array of (pos, kmer)."""
+    """Array of (pos, kmer), for short sequences; see ``explode_kmers``."""
     s = _c(seq)
     return F.transform(window_starts(s, k, gap, drop_last), lambda i: F.struct(i.alias("pos"), F.substring(s, i + 1, F.lit(k)).alias("kmer")))
 

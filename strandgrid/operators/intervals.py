@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import window_starts
+from ..functions.sequence import BLOCK, with_blocks
 
 
 def islands(rows: DataFrame, by: list[str], order: list[Column | str], starts_new: Column, out: str = "island") -> DataFrame:
@@ -30,13 +30,22 @@ def sections(windows: DataFrame, k: int, contig: str = "contig_id", pos: str = "
     return runs.groupBy(contig, "island").agg(F.first(cell).alias(cell), F.min(pos).alias("start_coord"), (F.max(pos) + k).alias("end_coord")).drop("island")
 
 
-def sections_by_array(contigs: DataFrame, k: int, value, contig: str = "contig_id", seq: str = "seq", cell: str = "cell", gap: int = 1) -> DataFrame:
-    """The same from whole sequences, in each row by itself: value is a function of a window's start that gives its cell. Nothing is shuffled."""
-    rows = contigs.select(contig, F.transform(window_starts(seq, k, gap), lambda i: F.struct(i.alias("pos"), value(i).alias(cell))).alias("__w"))
-    first = F.filter("__w", lambda x, i: (i == 0) | (x[cell] != F.get("__w", i - 1)[cell]))
-    rows = rows.withColumn("__f", first).select(contig, F.get("__w", F.size("__w") - 1)["pos"].alias("__last"), F.posexplode("__f").alias("__i", "__s"), "__f")
-    end = F.coalesce(F.get("__f", F.col("__i") + 1)["pos"] - gap, F.col("__last")) + k
-    return rows.select(contig, F.col("__s")[cell].alias(cell), F.col("__s")["pos"].alias("start_coord"), end.alias("end_coord"))
+def sections_of(contigs: DataFrame, k: int, cell_of, contig: str = "contig_id", seq: str = "seq", cell: str = "cell") -> DataFrame:
+    """The same from whole sequences: cell_of is a function of a window's column that gives its cell.
+
+    Runs are found inside blocks of a sequence first, each row by itself; only the runs,
+    not the windows, are shuffled, to join those that go on in the next block.
+    """
+    rows = with_blocks(contigs.select(contig, seq), k, seq)
+    n = F.least(F.lit(BLOCK), F.col("__n") - k + 1 - F.col("__at"))
+    rows = rows.where(n > 0).withColumn("__c", F.transform(F.sequence(F.lit(0), n - 1), lambda i: cell_of(F.substring("__part", i + 1, F.lit(k)))))
+    starts = F.filter(F.sequence(F.lit(0), F.size("__c") - 1), lambda i: (i == 0) | (F.get("__c", i) != F.get("__c", i - 1)))
+    rows = rows.withColumn("__f", starts)
+    run = F.posexplode(F.transform("__f", lambda i, j: F.struct(i.alias("s"), (F.coalesce(F.get("__f", j + 1), F.size("__c")) - 1).alias("e"), F.get("__c", i).alias("c")))).alias("__j", "__r")
+    runs = rows.select(contig, "__at", run).select(contig, (F.col("__at") + F.col("__r.s")).alias("start_coord"), (F.col("__at") + F.col("__r.e") + k).alias("end_coord"), F.col("__r.c").alias(cell))
+    w = before([contig], ["start_coord"])
+    joined = islands(runs, [contig], ["start_coord"], F.col(cell) != F.lag(cell).over(w))
+    return joined.groupBy(contig, "island").agg(F.first(cell).alias(cell), F.min("start_coord").alias("start_coord"), F.max("end_coord").alias("end_coord")).drop("island")
 
 
 def merge_ranges(rows: DataFrame, by: list[str], k: int, start: str = "q_start", end: str = "q_end") -> DataFrame:
@@ -71,9 +80,9 @@ def slop(start: Column | str, end: Column | str, k: int, length: Column | str |
 
 
 def blocks(contigs: DataFrame, block: int = 10_000, contig: str = "contig_id", seq: str = "seq") -> DataFrame:
-    """(contig, contig_start, block_seq): pieces of whole sequences."""
-    starts = F.explode(F.when(F.length(seq) > 0, F.sequence(F.lit(0), F.length(seq) - 1, F.lit(block))).otherwise(F.array(F.lit(0))))
-    return contigs.withColumn("contig_start", starts).select(contig, "contig_start", F.substring(F.col(seq), F.col("contig_start") + 1, F.lit(block)).alias("block_seq"))
+    """(contig, contig_start, block_seq): pieces of whole sequences, in one pass over each."""
+    parts = F.posexplode(F.regexp_extract_all(F.col(seq), F.lit("(?s).{1,%d}" % block), F.lit(0))).alias("__i", "block_seq")
+    return contigs.select(contig, parts).select(contig, (F.col("__i") * block).alias("contig_start"), "block_seq")
 
 
 def sequence_range(seq: Column | str, start: Column | str, end: Column | str) -> Column:

@@ -45,7 +45,7 @@ def asked(spark, sf, least: int = K) -> DataFrame:
 
 
 def windows(rows: DataFrame, key: str, k: int = K, gap: int = 1) -> DataFrame:
-    return rows.select(key, F.explode(sequence.kmers("seq", k, gap)).alias("w")).select(key, "w.pos", "w.kmer")
+    return sequence.explode_kmers(rows.select(key, "seq"), k, gap)
 
 
 def vectors(spark, sf, d: int) -> DataFrame:
@@ -407,7 +407,7 @@ def bloom_bits(spark, sf):
 _CARD = f"ceil({-FILTER_BITS / 3!r} * ln(1.0 - (count(DISTINCT bit) + 1) / {FILTER_BITS}.0))::BIGINT"
 
 
-@query(f"WITH s AS ({_asked_sql()}), w AS ({_windows_sql('s', 'query_id')}), b AS (SELECT query_id, unnest({_bits_sql('kmer', FIXED_ORDERS, FILTER_BITS)}) AS bit FROM w) SELECT (SELECT {_CARD} FROM b WHERE query_id % 2 = 0) AS even, (SELECT {_CARD} FROM b WHERE query_id % 2 <> 0) AS odd, (SELECT {_CARD} FROM b) AS either, even + odd - either AS shared")
+@query(f"WITH s AS ({_asked_sql()}), w AS ({_windows_sql('s', 'query_id')}), b AS (SELECT query_id, unnest({_bits_sql('kmer', FIXED_ORDERS, FILTER_BITS)}) AS bit FROM w), n AS (SELECT (SELECT {_CARD} FROM b WHERE query_id % 2 = 0) AS even, (SELECT {_CARD} FROM b WHERE query_id % 2 <> 0) AS odd, (SELECT {_CARD} FROM b) AS either) SELECT even, odd, either, even + odd - either AS shared FROM n")
 def bloom_cardinality(spark, sf):
     w = windows(asked(spark, sf), "query_id")
     half = [bloom.bits(w.where(c), "kmer", FIXED_ORDERS, FILTER_BITS) for c in ("query_id % 2 = 0", "query_id % 2 <> 0")]
@@ -453,8 +453,7 @@ def leader_clusters(spark, sf):
 # -- intervals ----------------------------------------------------------------------------------
 
 
-def _t_cell(i):
-    window = F.substring("seq", i + 1, F.lit(K))
+def _t_cell(window):
     return F.floor((F.length(window) - F.length(F.replace(window, F.lit("T"), F.lit("")))) / 4)
 
 
@@ -466,7 +465,7 @@ sections AS (SELECT contig_id, min(cell) AS cell, min(pos) AS start_coord, max(p
 
 
 def _sections(spark, sf) -> DataFrame:
-    return intervals.sections_by_array(contigs(spark, sf), K, _t_cell)
+    return intervals.sections_of(contigs(spark, sf), K, _t_cell)
 
 
 @query(f"WITH {_SECTIONS} SELECT contig_id, cell, start_coord, end_coord FROM sections")

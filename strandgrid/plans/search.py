@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distance import bounded_edits, edits, hamming, percent_identity, smith_waterman, strand_edits
-from ..functions.sequence import canonical, kmers
+from ..functions.sequence import canonical, explode_kmers
 from ..operators.bloom import qgram_filter, qgram_threshold
 from ..operators.grid import cells as cells_of
 from ..operators.grid import slack
@@ -49,9 +49,9 @@ def linear_search(queries: DataFrame, members: DataFrame, metric: str = "needle"
 def query_windows(queries: DataFrame, k: int, query: str = "query_id", seq: str = "seq") -> DataFrame:
     """(query, q_start, q_end, kmer): windows every k // 2 bases, (length - k + 1) // (k // 2) of them."""
     gap = k // 2
-    rows = queries.select(query, F.length(seq).alias("__n"), F.posexplode(kmers(seq, k, gap)).alias("__i", "w"))
-    rows = rows.where(F.col("__i") < F.floor((F.col("__n") - k + 1) / gap))
-    return rows.select(query, F.col("w.pos").alias("q_start"), (F.col("w.pos") + k).alias("q_end"), F.col("w.kmer").alias("kmer"))
+    rows = explode_kmers(queries.select(query, F.length(seq).alias("n"), seq), k, gap, seq)
+    rows = rows.where(F.col("pos") / gap < F.floor((F.col("n") - k + 1) / gap))
+    return rows.select(query, F.col("pos").alias("q_start"), (F.col("pos") + k).alias("q_end"), "kmer")
 
 
 def contig_matches(windows: DataFrame, cells: DataFrame, sections: DataFrame, radius: float, k: int, cap: int = 20, v: str = "v", dims: int = 2, query: str = "query_id", contig: str = "contig_id") -> DataFrame:
@@ -93,7 +93,7 @@ def ssw_search(queries: DataFrame, targets: DataFrame, identity: float, least: i
 
 def canonical_kmers(contigs: DataFrame, k: int, gap: int, seq: str = "seq") -> DataFrame:
     """(kmer): different canonical k-mers of windows every gap bases; a last window that ends with its sequence is left out."""
-    return contigs.select(F.explode(kmers(seq, k, gap, drop_last=True)).alias("w")).select(canonical("w.kmer").alias("kmer")).distinct()
+    return explode_kmers(contigs.select(seq), k, gap, seq, drop_last=True).select(canonical("kmer").alias("kmer")).distinct()
 
 
 def lev_matrix(kmer_rows: DataFrame, kmer: str = "kmer") -> DataFrame:

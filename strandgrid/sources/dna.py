@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequence import clean, kmers
+from ..functions.sequence import clean, explode_kmers
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,7 +44,7 @@ def read_fasta_list(spark: SparkSession, path: str) -> DataFrame:
 def fasta_kmers(records: DataFrame, k: int, gap: int = 1, stop_at_n: bool = False, num: int = 0) -> DataFrame:
     """(contig_name, pos, kmer) of all windows without N; stop_at_n: a record ends at its first window whose last base is N. num: at most so many, 0 for all."""
     seq = F.substring_index("seq", "N", 1) if stop_at_n else F.col("seq")
-    rows = records.select("contig_name", F.explode(kmers(seq, k, gap)).alias("w")).select("contig_name", "w.pos", "w.kmer").where(~F.col("kmer").contains("N"))
+    rows = explode_kmers(records.select("contig_name", seq.alias("seq")), k, gap).where(~F.col("kmer").contains("N"))
     return rows.limit(num) if num else rows
 
 
@@ -71,7 +71,7 @@ def read_sequence_lines(spark: SparkSession, path: str, k: int, num: int = 0) ->
     """(pos, kmer): all windows of the lines of a table that aren't headers, up to a window that doesn't end in A, C, G or T."""
     rows = spark.read.text(path).where(~F.col("value").startswith(">"))
     seq = F.regexp_extract("value", "^[ACGT]*", 0)
-    rows = rows.select(F.explode(kmers(seq, k)).alias("w")).select("w.pos", "w.kmer")
+    rows = explode_kmers(rows.select(seq.alias("seq")), k)
     return rows.limit(num) if num else rows
 
 
