@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HIDDEN = 16
@@ -195,14 +195,25 @@ def _predict(model):
 
 
 def sample(docs: DataFrame, may_learn: Column, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> list:
-    """At most per_lang rows (lang, text) for each of max_langs languages; of a text, a stretch of 512 characters at a place given by a hash."""
+    """At most per_lang rows (lang, h, text) for each of max_langs languages; of a text, a stretch of 512 characters at a place given by a hash.
+
+    A language's rows are kept by a hash, at a rate that leaves about twice as many as are wanted; no rows are shuffled.
+    """
     rows = docs.where(may_learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "doc_id", "text")
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    h = F.xxhash64("doc_id")
+    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    if not langs:
+        return []
+    h = F.xxhash64("doc_id", F.length("text"))
+    steps = 1 << 30
     part = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - 511)).cast("int") + 1, F.lit(512))
-    rows = rows.where(F.col("lang").isin(langs)).select("lang", h.alias("h"), part.alias("text"))
-    w = Window.partitionBy("lang").orderBy("h", "text")
-    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_lang).select("lang", "h", "text").collect()
+    keep = F.lit(False)
+    for r in langs:
+        keep = keep | ((F.col("lang") == r["lang"]) & (F.pmod(h, F.lit(steps)) < min(steps, 2 * per_lang * steps // r["n"] + 1)))
+    found = rows.where(keep).select("lang", h.alias("h"), part.alias("text")).limit(4 * per_lang * len(langs)).collect()
+    out: list = []
+    for r in langs:
+        out += sorted((x for x in found if x["lang"] == r["lang"]), key=lambda x: (x["h"], x["text"]))[:per_lang]
+    return out
 
 
 def fit(docs: DataFrame, may_learn: Column, **how) -> tuple[Network | None, list[str]]:
