@@ -56,6 +56,13 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str, n: str, spread: Co
     return found.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"__found.{c}").alias(c) for c in others])
 
 
+def shielded(docs: DataFrame):
+    """docs with all columns but doc_id and text renamed, so that no name of theirs meets one of an operator's, and a
+    function that gives a result's first columns their own names again."""
+    names = [c if c in ("doc_id", "text") else f"__c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda out: out.toDF(*docs.columns, *out.columns[len(names) :])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloomfilter import filter_bits, suspected, twice_seen
-from .common import WS_BYTES, cut, join_counted, lower_bytes
+from .common import WS_BYTES, cut, join_counted, lower_bytes, shielded
 
 MIN_CHARS = 10
 BITS_PER_LINE = 32
@@ -107,6 +107,7 @@ def _drop(columns: list[str], min_chars: int):
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs (doc_id, text, ...) without repeated lines, plus __n_lines and __n_dropped; the text is null where it was null and lost nothing."""
     spark = docs.sparkSession
+    docs, named = shielded(docs)
     n_lines = docs.select(F.sum(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).alias("n")).first()["n"] or 0
     n_bits = filter_bits(n_lines, BITS_PER_LINE)
     bloom = spark.sparkContext.broadcast(twice_seen(docs.select("text"), n_bits, _hashes(min_chars)))
@@ -118,7 +119,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     drops = lost.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("digest").alias("__drop"))
     found = docs.join(drops, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return found.mapInArrow(_drop(found.columns, min_chars), f"{out}, __n_lines long, __n_dropped long")
+    return named(found.mapInArrow(_drop(found.columns, min_chars), f"{out}, __n_lines long, __n_dropped long"))
 
 
 def op6(docs: DataFrame) -> DataFrame:

@@ -115,7 +115,8 @@ def judge(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
 def apply_rules(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows that break no rule, with their own columns."""
-    return judge(df, text, rules).where(F.size("__broken") == 0).select(*[F.col(f"`{c}`") for c in df.columns])
+    names = [text if c == text else f"__c{i}" for i, c in enumerate(df.columns)]
+    return judge(df.toDF(*names), text, rules).where(F.size("__broken") == 0).select(*names).toDF(*df.columns)
 
 
 def op4(docs: DataFrame) -> DataFrame:

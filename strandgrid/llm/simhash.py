@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_bytes
+from .common import cut, lower_bytes, shielded
 from .components import components, forest
 
 SHINGLE = 3
@@ -227,7 +227,8 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, c
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
     """The rows of the smallest doc_id of each component, with their own columns. Rows that share that doc_id all stay, as do rows without a doc_id whose component has no other."""
     keep = near_components(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    safe, named = shielded(docs)
+    return named(safe.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"))
 
 
 def op10(docs: DataFrame) -> DataFrame:

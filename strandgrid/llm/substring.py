@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bloomfilter import filter_bits, suspected, twice_seen
 from .bytewords import code_points_before, mix, range_hashes, words
-from .common import cut, join_counted
+from .common import cut, join_counted, shielded
 
 RADIUS = 3
 MIN_WORDS = 10
@@ -141,6 +141,7 @@ def _drop(columns: list[str]):
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) without repeated paragraphs, plus __spans: the removed [start, end) of the original text, in code points."""
     spark = docs.sparkSession
+    docs, named = shielded(docs)
     keyed = docs.withColumn("__key", F.coalesce("doc_id", F.lit(-(2**63))))
     chars = docs.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     n_bits = filter_bits(chars // 40, BITS_PER_UNIT)  # a paragraph begins every seven words
@@ -151,7 +152,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     lists = found.groupBy(F.col("key").alias("__id")).agg(F.collect_list(F.struct("start", "end", "digest", (F.col("key") == F.col("keep")).alias("mine"))).alias("__found"))
     both = keyed.join(lists, F.col("__key") == F.col("__id"), "left").drop("__key", "__id")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return both.mapInArrow(_drop(both.columns), f"{out}, __spans array<array<bigint>>")
+    return named(both.mapInArrow(_drop(both.columns), f"{out}, __spans array<array<bigint>>"))
 
 
 def op3(docs: DataFrame) -> DataFrame:

@@ -1,0 +1,426 @@
+"""Each operator against a plain version over the fixture's tables, on odd rows, and on an empty table."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import oracle
+import pytest
+from pyspark.sql import functions as F
+
+from strandgrid.llm import bloomfilter, bytewords, components, fingerprints, langid, linededup, lm, packing, pii, quality, registry, sentencepiece_scan, simhash, substring
+
+WORD = r"[^\x20\x09-\x0D]+"
+QUERIES = registry.queries()
+
+
+def documents(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def pairs(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_sql(spark, sf, name):
+    oracle.compare(spark, QUERIES[name], registry.oracle_sql()[name], sf)
+
+
+OPS = {1: fingerprints.op1, 2: sentencepiece_scan.op2, 3: substring.op3, 4: quality.op4, 5: lm.op5, 6: linededup.op6, 7: langid.op7, 8: pii.op8, 9: packing.op9, 10: simhash.op10}
+
+
+@pytest.mark.parametrize("n", sorted(OPS))
+def test_odd_and_empty_tables(odd, none, odd_rows, n):
+    clash = odd
+    for c in ("key", "h", "fp", "digest", "__c0", "__id", "__key", "n", "word", "bucket", "ids", "__q", "__drop"):
+        clash = clash.withColumn(c, F.lit("x"))
+    out = OPS[n](clash).collect()
+    if n == 9:
+        assert {r["doc_id"] for r in out} == {r[0] for r in odd_rows}
+    else:
+        assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(r[0] for r in odd_rows)
+    empty = OPS[n](none)
+    assert empty.count() == 0 and empty.columns == OPS[n](odd).columns
+
+
+@pytest.mark.parametrize("f", [quality.apply_rules, linededup.dedup_lines, substring.dedup_substrings, simhash.near_dedup, pii.redacted])
+def test_other_columns_are_carried(odd, f):
+    df = odd
+    for c in ("__c0", "__id", "__key", "__q_words", "__q", "__drop", "__found", "key", "digest", "component_id"):
+        df = df.withColumn(c, F.concat(F.lit(c), F.coalesce("source", F.lit(""))))
+    out = f(df)
+    assert out.columns[: len(df.columns)] == df.columns
+    assert all(r["__q"] == "__q" + (r["source"] or "") and r["digest"] == "digest" + (r["source"] or "") for r in out.collect())
+
+
+# -- 1 --------------------------------------------------------------------------------------
+
+
+def test_fingerprints(spark, sf, unique):
+    words = lambda t: collections.Counter(re.findall(WORD, t))
+    same = lambda a, b: sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
+    for docs in (documents(spark, sf), unique):
+        rows = sorted((i, t or "") for i, t in pairs(docs))
+        got = {r["doc_id"]: r for r in fingerprints.op1(docs).collect()}
+        errors = []
+        for k, (i, t) in enumerate(rows):
+            after = rows[(k + 1) % len(rows)][1]
+            m = len(t) // 4
+            edited = t[: len(t) - m] + after[:m]
+            assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+            errors += [got[i]["near_edited"] - same(words(t), words(edited)), got[i]["near_next"] - same(words(t), words(after))]
+        assert abs(np.mean(errors)) < 0.02 and max(map(abs, errors)) < 0.35
+        by_text = collections.defaultdict(set)
+        for i, t in rows:
+            by_text[t].add(got[i]["fingerprint"])
+        assert all(len(v) == 1 for v in by_text.values())
+
+
+def test_collision_rate_is_weighted_jaccard(spark):
+    df = spark.createDataFrame([(1, "a a a b b c " * 5), (2, "a b b b d " * 6)], "id long, text string")
+    a, b = ([r["signature"] for r in fingerprints.signatures(df, "text", ["id"], samples=512).orderBy("id").collect()])
+    want = (min(15, 6) + min(10, 18)) / (max(15, 6) + max(10, 18) + 5 + 6)
+    assert abs(np.mean([x == y for x, y in zip(a, b, strict=True)]) - want) < 0.08
+
+
+# -- 2 --------------------------------------------------------------------------------------
+
+
+def test_sentencepiece(spark, sf, unique):
+    for docs, how in ((documents(spark, sf), {}), (unique, {"giant": 3000, "chunk": 2048})):
+        got = {r["doc_id"]: (bytes(r["ids"]) if r["ids"] is not None else None, r["text"]) for r in sentencepiece_scan.decoded(sentencepiece_scan.encode(docs, **how)).collect()}
+        want = sentencepiece_scan.brute([(i, t) for i, t in pairs(docs) if t is not None])
+        for i, t in pairs(docs):
+            if t is None:
+                assert got[i] == (None, None)
+            else:
+                assert (len(got[i][0]) // 4, hashlib.sha256(got[i][0]).hexdigest()) == want[i] and got[i][1] == t
+
+
+def test_scan_at_any_chunk_size():
+    v = sentencepiece_scan.vocabulary(sentencepiece_scan.default_model())
+    g = np.random.default_rng(5)
+    for alphabet in ("ab", "abcde therion", "  the and ing", "éà漢字😀 ab\n", "aaaab"):
+        for n in (1, 30, 200):
+            t = "".join(g.choice(list(alphabet), n))
+            for chunk in (17, 40, 90):
+                assert np.frombuffer(sentencepiece_scan.encode_scan(v, t, chunk), "<u4").tolist() == v.sp.encode(t)
+
+
+def test_matrices_are_associative():
+    v = sentencepiece_scan.vocabulary(sentencepiece_scan.default_model())
+    text = sentencepiece_scan.escape("thereisnothingbetweentheseletters")
+    a, b, c = (sentencepiece_scan.transfer(v, text, x, y) for x, y in ((0, 9), (9, 20), (20, len(text))))
+    assert np.array_equal(a.then(b).then(c).w, a.then(b.then(c)).w)
+
+
+# -- 3 --------------------------------------------------------------------------------------
+
+
+def kept_text(t, spans):
+    return "".join(t[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(t)], strict=True))
+
+
+def test_substring_dedup(spark, sf, unique):
+    for docs in (documents(spark, sf), unique):
+        rows = pairs(docs)
+        want = substring.brute(rows)
+        got = {r["doc_id"]: r for r in substring.op3(docs).collect()}
+        for i, t in rows:
+            assert got[i]["dropped"] == ",".join(f"{s}:{e}" for s, e in want[i])
+            assert got[i]["kept_sha256"] == hashlib.sha256(kept_text(t or "", want[i]).encode()).hexdigest()
+
+
+def test_embedded_passages_are_found(unique):
+    got = {r["doc_id"]: r["n_dropped_chars"] for r in substring.op3(unique).collect()}
+    assert got[32] == 0 and got[33] > 400 and got[26] > 100 and got[3] == 0
+
+
+# -- 4 --------------------------------------------------------------------------------------
+
+
+def plain_quality(t):
+    t = t or ""
+    w = re.findall(WORD, t)
+    tri = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    repeat = {p for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
+    lines = [x for x in t.split("\n") if re.search(WORD, x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(repeat)
+
+
+def test_quality(odd):
+    got = quality.op4(odd).collect()
+    want = collections.Counter((i, *plain_quality(t)) for i, t in pairs(odd))
+    assert collections.Counter(tuple(r[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for r in got) == want
+    assert all(r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and not (r["kept"] and r["base_failed"]) for r in got)
+    kept = {r["doc_id"] for r in got if r["kept"]}
+    assert set(range(12)) <= kept and not {20, 21, 28, 34} & kept
+
+
+# -- 5 --------------------------------------------------------------------------------------
+
+
+def plain_tokens(t):
+    low = re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+    return [*re.findall(WORD, low), "\0end"]
+
+
+@pytest.mark.parametrize("table_words", [1 << 20, 50])
+def test_language_model(spark, sf, unique, table_words):
+    for docs in (documents(spark, sf), unique):
+        train = docs.where(~lm.held_out(F.col("doc_id")))
+        counts = lm.cut(lm.word_counts(train))
+        model = lm.fit(train, counts, table_words=table_words)
+        got = {r["doc_id"]: r for r in lm.score(docs, model, counts).collect()}
+        rows = pairs(docs)
+        c = collections.Counter(x for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for x in plain_tokens(t))
+        n, v = sum(c.values()), len(c)
+        for i, t in rows:
+            w = plain_tokens(t)
+            base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+            assert (got[i]["n_tokens"], got[i]["n_known"]) == (len(w), sum(c[x] > 0 for x in w))
+            assert got[i]["base_score"] == pytest.approx(base, rel=1e-9)
+        if docs is not unique:  # the odd rows are no corpus to learn classes from
+            held = [got[i] for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1]
+            assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_mixture_is_a_distribution(spark, sf):
+    train = documents(spark, sf)
+    counts = lm.cut(lm.word_counts(train))
+    model = lm.fit(train, counts)
+    rows = counts.toPandas()
+    h = rows["h"].to_numpy().view(np.uint64)
+    units = lm.units_of(h, rows["shape"].to_numpy(), model.hot)
+    cls = model.cls[units].astype(int)
+    for before in (0, 5, 63):
+        known = ((rows["n"].to_numpy() + 0.5) * (model.step[before][cls] + model.rest)).sum()
+        unseen = 0.5 * (model.step[before].sum() + model.rest)
+        assert known + unseen == pytest.approx(1.0, abs=1e-3)
+
+
+def test_exchange_never_lowers_the_likelihood():
+    g = np.random.default_rng(6)
+    truth = g.integers(0, 4, 60)
+    rate = g.random((4, 4)) ** 4
+    pairs_ = g.poisson(40 * rate[truth][:, truth]).astype(np.float32)
+    f = lambda x: (x * np.log(np.maximum(x, 1e-12))).sum()
+
+    def likelihood(cls, k):
+        n = np.stack([lm.by_class(pairs_, cls, k)[0][cls == c].sum(0) for c in range(k)])
+        return f(n) - f(n.sum(0)) - f(n.sum(1))
+
+    values = [likelihood(lm.exchange(pairs_, 6, s), 6) for s in (0, 1, 2, 4)]
+    assert values == sorted(values) and values[-1] > values[0]
+
+
+# -- 6 --------------------------------------------------------------------------------------
+
+
+def test_line_dedup(unique):
+    want = linededup.brute(pairs(unique))
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in linededup.op6(unique).collect()}
+    assert got == want and got[35][1] == 3 and got[20][:2] == (1, 0)
+
+
+def test_full_filters_still_give_exact_results(unique, monkeypatch):
+    monkeypatch.setattr(linededup, "filter_bits", lambda n, b: 1 << 16)
+    want = linededup.brute(pairs(unique))
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in linededup.op6(unique).collect()}
+    assert got == want
+
+
+def test_twice_seen_hides_no_repeat(spark):
+    df = spark.range(3000).select((F.col("id") % 2000).cast("string").alias("text")).repartition(7)
+    hashes = lambda texts: linededup.key_hashes([t.encode() for t in texts])
+    bits = np.frombuffer(bloomfilter.twice_seen(df, 1 << 17, hashes), np.uint8)
+    hit = bloomfilter.suspected(bits, hashes([str(i) for i in range(2000)]), 1 << 17)
+    assert hit[:1000].all() and hit[1000:].mean() < 0.05
+
+
+# -- 7 --------------------------------------------------------------------------------------
+
+
+def test_gradients_are_differences():
+    net = langid.Network(3, 4, seed=1)
+    g = np.random.default_rng(2)
+    x = g.integers(0, 256, (3, 7))
+    mask = np.arange(7) < np.array([7, 4, 6])[:, None]
+    y = np.array([0, 2, 1])
+    grad, _ = net.gradients(x, mask, y)
+    for name, at in (("w", (0, x[0, 2], 1)), ("w", (1, x[1, 1], 9)), ("u", (0, 2, 5)), ("u", (1, 1, 10)), ("b", (0, 0, 3)), ("o", (1, 2, 1)), ("c", (2,))):
+        v = net.w[name]
+        old, losses = v[at], []
+        for step in (1e-2, -1e-2):
+            v[at] = old + step
+            losses.append(net.gradients(x, mask, y)[1])
+        v[at] = old
+        assert (losses[0] - losses[1]) / 2e-2 == pytest.approx(grad[name][at], abs=2e-3)
+
+
+def test_language_accuracy(spark, sf):
+    docs = documents(spark, sf)
+    truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    got = [r for r in langid.op7(docs).collect() if r["held_out"]]
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 and 0 <= r["score"] <= 1 for r in got)
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in got]) >= 0.95
+
+
+def test_no_letters(odd):
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.op7(odd).collect()}
+    assert [got[i] for i in (20, 21, 22, 34)] == ["und"] * 4 and got[1] != "und"
+
+
+# -- 8 --------------------------------------------------------------------------------------
+
+
+def test_pii_base(spark, sf, odd):
+    for docs in (documents(spark, sf), odd):
+        for _, t in pairs(docs):
+            found, want = pii.find(t), pii.brute(t)
+            assert {k: found[k] for k in pii.BASE} == want
+
+
+def test_pii_base_on_noise():
+    g = np.random.default_rng(3)
+    for alphabet in ("ab0129.+@ -()%_é\n:5", "012345679 -.+()", "a@.b-1 "):
+        for n in range(1, 400):
+            t = "".join(g.choice(list(alphabet), int(n % 60) + 1))
+            found = pii.find(t)
+            assert {k: found[k] for k in pii.BASE} == pii.brute(t), t
+
+
+def test_pii_by_cues():
+    show = lambda t: {k: [t[s:e] for s, e in v] for k, v in pii.find(t).items() if v}
+    assert show("IBAN: DE89 3704 0044 0532 0130 00 und") == {"iban": ["DE89 3704 0044 0532 0130 00"]}
+    assert show("SSN: 123-45-6789.") == {"ssn": ["123-45-6789"]}
+    assert show('token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"') == {"secret": ["f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"]}
+    assert show("account no: 12345678")["account"] == ["12345678"]
+    assert show("see http://www.example.org/licenses and a token of thanks") == {}
+    assert pii.redact("mail a@b.co now", pii.find("mail a@b.co now")) == "mail <EMAIL> now"
+
+
+def test_pii_query(odd):
+    got = {r["doc_id"]: r for r in pii.op8(odd).collect()}
+    assert (got[31]["n_email"], got[31]["n_ip"], got[31]["n_phone"]) == (10, 1, 1)
+    assert got[20]["spans"] == "" and got[20]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+# -- 9 --------------------------------------------------------------------------------------
+
+
+def test_packing(spark, sf, unique):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    for docs in (documents(spark, sf), unique):
+        rows = packing.op9(docs).collect()
+        by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
+        for r in rows:
+            by_doc[r["doc_id"]].append(r)
+            by_seq[r["sequence_id"]].append((r["offset"], r["length"]))
+        for i, t in pairs(docs):
+            ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+            own = sorted(by_doc[i], key=lambda r: r["piece"])
+            assert [(r["piece"], r["start"]) for r in own] == [(k, 2048 * k) for k in range(-(-len(ids) // 2048))]
+            assert all(zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in own)
+            assert sum(r["length"] for r in own) == len(ids)
+        for v in by_seq.values():
+            at = 0
+            for offset, n in sorted(v):
+                assert offset == at
+                at += n
+            assert at <= 2048
+        assert len(by_seq) <= 1.01 * packing.lower_bound(np.array([r["length"] for r in rows]), 2048) + 1
+
+
+def test_exchange_of_open_bins(spark):
+    g = np.random.default_rng(4)
+    lengths = g.integers(1, 2049, 3000).tolist()
+    df = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    apart = packing.pack(df, per_partition=100, rounds=1).agg(F.countDistinct("sequence_id")).first()[0]
+    out = packing.pack(df, per_partition=100)
+    assert out.count() == 3000 and out.select("doc_id").distinct().count() == 3000
+    assert out.agg(F.countDistinct("sequence_id")).first()[0] < apart
+
+
+def test_words_of_any_kind():
+    tok = packing.Words(packing.default_tokenizer())
+    for t in ("don't we're <|endoftext|>x", "İstanbul Straße ǅ ﬁ", "a\x1cb \x85 c\xa0d", "é é", "abc!!! x_y 12ab ab12 $$ab ab$$", "", "漢字 한글 😀!", "ÇA. éé, ñ- ß's", "a'b ab' 'tis"):
+        assert b"".join(map(tok.__getitem__, t.encode().split())) == np.array(tok.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_lower_bound_is_one():
+    from itertools import permutations
+
+    g = np.random.default_rng(5)
+    for _ in range(40):
+        x = g.integers(1, 21, 5)
+        best = 9
+        for p in set(permutations(x.tolist())):
+            bins, left = 0, 0
+            for n in p:
+                if n > left:
+                    bins, left = bins + 1, 20
+                left -= n
+            best = min(best, bins)
+        low = packing.lower_bound(x, 20)
+        assert low <= best
+        assert len(packing.best_fit(np.sort(x)[::-1], 20)[2]) >= best
+
+
+# -- 10 -------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("cap", [simhash.CAP, 2])
+def test_simhash(spark, sf, unique, cap):
+    for docs in (documents(spark, sf), unique):
+        got = {r["doc_id"]: (f"{r['fp'] & (2**64 - 1):016x}", r["component_id"]) for r in simhash.near_components(docs, cap=cap).collect()}
+        assert got == simhash.brute(pairs(docs))
+
+
+def test_anchors_bring_all_near_fingerprints_together():
+    g = np.random.default_rng(7)
+    x = g.integers(-(2**63), 2**63 - 1, 300)
+    y = x.copy()
+    for i in range(len(y)):
+        for b in g.choice(64, int(g.integers(0, 3)), replace=False).tolist():
+            y[i] ^= np.int64((1 << b) - (1 << 64 if b == 63 else 0))
+    rx, ax, hx = simhash.anchors(x)
+    ry, ay, _ = simhash.anchors(y)
+    home = dict(zip(rx[hx].tolist(), ax[hx].tolist(), strict=True))
+    at = set(zip(ry.tolist(), ay.tolist(), strict=True))
+    assert len(home) == 300 and all((i, home[i]) in at for i in range(300))
+    assert len(set(zip(rx.tolist(), ax.tolist(), strict=True))) == len(rx)
+
+
+def test_components_of_any_shape(spark):
+    g = np.random.default_rng(8)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(int(a), int(b)) for a, b in g.integers(2000, 2400, (250, 2))]
+    df = spark.createDataFrame(edges, "u long, v long")
+    u, v = (np.array(c, np.int64) for c in zip(*[e for e in edges if e[0] != e[1]], strict=True))
+    low = dict(zip(*(x.tolist() for x in components.forest(u, v)), strict=True))
+    for last in (20_000, 20):
+        got = {r["node"]: r["label"] for r in components.components(df, last).collect()}
+        groups = collections.defaultdict(set)
+        for n, lab in got.items():
+            groups[lab].add(n)
+        want = collections.defaultdict(set)
+        for n in set(u.tolist()) | set(v.tolist()):
+            want[low.get(n, n)].add(n)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_bytewords():
+    t = "Ein  Wört\tÉ a\n" * 20
+    s, e, h = bytewords.words(t.encode())
+    assert [t.encode()[a:b] for a, b in zip(s, e, strict=True)] == t.encode().split()
+    same = collections.defaultdict(set)
+    for a, b, x in zip(s, e, h.tolist(), strict=True):
+        same[t.encode()[a:b].lower()].add(x)
+    assert all(len(v) == 1 for v in same.values()) and len({min(v) for v in same.values()}) == len(same)
+    assert bytewords.code_points_before(t.encode(), np.array([0, 8, 9])).tolist() == [0, len(t.encode()[:8].decode("utf8", "ignore")) + 0, 8]
