@@ -238,9 +238,9 @@ def ball_self_join(spark, sf):
     return joins.ball_self_join(vectors(spark, sf, 4), 0.1, "vec_id").withColumn("dist", F.round("dist", 6))
 
 
-@query(f"WITH v0 AS ({_vectors_sql(64)}) SELECT a.vec_id AS vec_id_1, b.vec_id AS vec_id_2, round(list_distance(a.v, b.v), 6) AS dist FROM v0 a JOIN v0 b ON a.vec_id < b.vec_id WHERE list_distance(a.v, b.v) <= 0.9")
+@query(f"WITH v0 AS ({_vectors_sql(64)}) SELECT a.vec_id AS vec_id_1, b.vec_id AS vec_id_2, round(list_distance(a.v, b.v), 6) AS dist FROM v0 a JOIN v0 b ON a.vec_id < b.vec_id WHERE list_distance(a.v, b.v) <= 1.2")
 def ball_self_join_64(spark, sf):
-    return joins.ball_self_join(vectors(spark, sf, 64), 0.9, "vec_id").withColumn("dist", F.round("dist", 6))
+    return joins.ball_self_join(vectors(spark, sf, 64), 1.2, "vec_id").withColumn("dist", F.round("dist", 6))
 
 
 _COARSE_R = repr(0.05 + 1.01 * grid.slack(3, SIDE))
@@ -283,7 +283,7 @@ def lev_within_small(spark, sf):
 
 @query()
 def lev_within(spark, sf):
-    return search.lev_within(search.canonical_kmers(contigs(spark, sf, 1), 32, 100), 32, 4)
+    return search.lev_within(search.canonical_kmers(contigs(spark, sf, 1), 32, 100), 32, 2)
 
 
 @query(f"WITH {_KMERS32} SELECT a.kmer AS k1, b.kmer AS k2, hamming(a.kmer, b.kmer)::BIGINT AS hamming, hamming(a.kmer, b.kmer) / 32 AS hamming_share, least(levenshtein(a.kmer, b.kmer), levenshtein(a.kmer, {_rc('b.kmer')})) AS strand_lev FROM k a JOIN k b ON a.kmer <= b.kmer")
@@ -575,7 +575,7 @@ def ssw_scores(spark, sf):
 def implicit_matrix(spark, sf):
     k = search.canonical_kmers(contigs(spark, sf, 1), 32, 100)
     model = pca.fit(k, "kmer", 32)
-    return search.implicit_matrix(pca.project(k, "kmer", model, 16), 1.0, dims=3)
+    return search.implicit_matrix(pca.project(k, "kmer", model, 16), 1.0, dims=4)
 
 
 # -- seeds ------------------------------------------------------------------------------------------
