@@ -114,6 +114,13 @@ def base_counts(seq: Column | str) -> Column:
     return F.array(*[(F.length(s) - F.length(F.replace(s, F.lit(b), F.lit("")))).cast("double") for b in "ACGT"])
 
 
+def random_kmer(seq: Column | str, key: Column | str, k: int) -> Column:
+    """A window of k bases at a place fixed by a hash of key; null for a shorter sequence."""
+    s, key = _c(seq), _c(key)
+    n = F.length(s) - k + 1
+    return F.when(n > 0, F.substring(s, F.pmod(F.xxhash64(key), F.greatest(n, F.lit(1))).cast("int") + 1, F.lit(k)))
+
+
 def mutate(seq: Column | str, key: Column | str, rate: float, indel_share: float = 0.1) -> Column:
     """A copy with random substitutions, insertions and deletions, fixed by a hash of key; as long as the original, filled up with N."""
     s, key = _c(seq), _c(key)

@@ -276,9 +276,12 @@ def lev_matrix(spark, sf):
     return search.lev_matrix(_kmers32(spark, sf))
 
 
-@query(f"WITH {_KMERS32} SELECT a.kmer AS k1, b.kmer AS k2, levenshtein(a.kmer, b.kmer) AS lev FROM k a JOIN k b ON a.kmer < b.kmer WHERE levenshtein(a.kmer, b.kmer) <= 12")
+_DENSE = f"q AS ({_asked_sql(1)}), w AS ({_windows_sql('q', 'query_id', 32, 2, True)}), k AS (SELECT DISTINCT least(kmer, {_rc('kmer')}) AS kmer FROM w)"
+
+
+@query(f"WITH {_DENSE} SELECT a.kmer AS k1, b.kmer AS k2, levenshtein(a.kmer, b.kmer) AS lev FROM k a JOIN k b ON a.kmer < b.kmer WHERE levenshtein(a.kmer, b.kmer) <= 4")
 def lev_within_small(spark, sf):
-    return search.lev_within(_kmers32(spark, sf), 32, 12)
+    return search.lev_within(search.canonical_kmers(asked(spark, sf, 1), 32, 2), 32, 4)
 
 
 @query()
@@ -473,6 +476,27 @@ def contig_sections(spark, sf):
     return _sections(spark, sf)
 
 
+@query(f"WITH {_SECTIONS} SELECT contig_id, cell, start_coord, end_coord FROM sections")
+def merge_contig_sections(spark, sf):
+    """Sections of two halves of the contigs, built apart and merged."""
+    c = contigs(spark, sf)
+    halves = [c.where(F.coalesce(F.col("contig_id") % 2 == 0, F.lit(False))), c.where(F.coalesce(F.col("contig_id") % 2 != 0, F.lit(True)))]
+    return grid.merge(*[intervals.sections_of(h, K, _t_cell) for h in halves])
+
+
+@query()
+def random_kmers(spark, sf):
+    return asked(spark, sf).select("query_id", sequence.random_kmer("seq", "query_id", K).alias("kmer"))
+
+
+@query(f"WITH v0 AS ({_vectors_sql(64)}), q AS (SELECT a.vec_id AS query, b.vec_id AS target, a.v AS x, b.v AS y FROM v0 a JOIN v0 b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT query, target, " + ", ".join(f"round(list_distance(x[1:{d}], y[1:{d}]), 6) AS rotation_dist_{d}" for d in (1, 2, 4, 8, 16)) + " FROM q")
+def rotation_dists(spark, sf):
+    """Distances of first components, for several numbers of them, of vectors with the same annotation."""
+    v = vectors(spark, sf, 64)
+    pairs = v.toDF("query", "label", "x").join(v.toDF("target", "label", "y"), "label").where("query < target")
+    return pairs.select("query", "target", *[F.round(dist.l2(F.slice("x", 1, d), F.slice("y", 1, d)), 6).alias(f"rotation_dist_{d}") for d in (1, 2, 4, 8, 16)])
+
+
 def _shared(spark, sf) -> DataFrame:
     """Positions of the windows that a query shares with a contig."""
     q = windows(asked(spark, sf), "query_id").select("query_id", F.col("pos").alias("q_start"), "kmer")
