@@ -2,13 +2,11 @@
 
 import collections
 
-import pytest
+import corpus_pipeline
 
 from strandgrid.llm import linededup, pii, quality, simhash
 from strandgrid.llm.common import cut
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
 
 def texts(df):
     return {r["doc_id"]: r["text"] for r in df.collect()}
