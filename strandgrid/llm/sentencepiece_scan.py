@@ -153,10 +153,10 @@ def states(v: Vocabulary, text: str, boundary: int) -> list[State]:
     return found
 
 
-def forward(v: Vocabulary, text: str, start: State | None, end: int) -> dict[State, tuple[float, State | None]]:
-    """Best weight, and occurrence before, of all occurrences reached from one and beginning before end."""
+def forward(v: Vocabulary, text: str, start: State | None, end: int, begin: int = 0) -> dict[State, tuple[float, State | None]]:
+    """Best weight, and occurrence before, of all occurrences reached from one (None: from a place where the text, or a word, begins) and beginning before end."""
     best: dict[State, tuple[float, State | None]] = {}
-    begin = start[1] if start else 0
+    begin = start[1] if start else begin
     ending: dict[int, list[State]] = {begin: [start] if start else []}
     if start:
         best[start] = (0.0, None)
@@ -214,8 +214,7 @@ def transfer(v: Vocabulary, text: str, a: int, b: int) -> Matrix:
         # whatever comes before, a piece begins at these places: the matrix is an outer sum
         first, last = places
         head = [reach(v, text, r, first) for r in rows]
-        start = text_start(v, text, last)
-        best = forward(v, text[: b + v.longest], start, b)
+        best = forward(v, text[: b + v.longest], None, b, last)
         tail = [best[c][0] if c in best and best[c][0] > NONE else NONE for c in cols]
         for i, x in enumerate(head):
             w[i] = [x + y for y in tail]
@@ -228,14 +227,6 @@ def transfer(v: Vocabulary, text: str, a: int, b: int) -> Matrix:
     return Matrix(rows, cols, w)
 
 
-def text_start(v: Vocabulary, text: str, at: int) -> State | None:
-    """The last piece before a place that none crosses: it begins at the place before that, or with the text."""
-    word = max((i for i in range(max(0, at - 4096), at) if i == 0 or (text[i] == SPACE and text[i - 1] != SPACE)), default=max(0, at - 4096))
-    pieces = v.sp.id_to_piece(v.plain(text[word:at]))
-    n = len(pieces[-1]) if pieces[-1] in v.pieces else 1
-    return at - n, at
-
-
 def reach(v: Vocabulary, text: str, start: State | None, end: int) -> float:
     """Best weight of a path from an occurrence to a place that no piece crosses."""
     best = forward(v, text[:end], start, end)
@@ -243,9 +234,9 @@ def reach(v: Vocabulary, text: str, start: State | None, end: int) -> float:
     return max(found, default=0.0 if start and start[1] == end else NONE)
 
 
-def backtrace(v: Vocabulary, text: str, a: int, b: int, start: State | None, end: State) -> list[str]:
-    """Pieces of a chunk after one state up to another, that included."""
-    best = forward(v, text[: b + v.longest], start, b)
+def backtrace(v: Vocabulary, text: str, b: int, start: State | None, end: State, begin: int = 0) -> list[str]:
+    """Pieces of a chunk after one state, or from a place where a word begins, up to another state, that included."""
+    best = forward(v, text[: b + v.longest], start, b, begin)
     path, x = [], end
     while x is not None and x != start:
         path.append(text[x[0] : x[1]])
@@ -257,7 +248,7 @@ def chunk_ids(v: Vocabulary, text: str, a: int, b: int, start: State | None, end
     """Ids of the pieces after start up to end. Between places that no piece crosses the library encodes."""
     places = hard(text, (start[1] if start else 0) + 1, min(b, end[0] + 1)) if not v.unigram else None
     if not places:
-        return np.array(v.ids(backtrace(v, text, a, b, start, end)), "<u4").tobytes()
+        return np.array(v.ids(backtrace(v, text, b, start, end)), "<u4").tobytes()
     first, last = places
     begin = start[1] if start else 0
     # from begin to the first such place, given the piece before
@@ -268,7 +259,7 @@ def chunk_ids(v: Vocabulary, text: str, a: int, b: int, start: State | None, end
         head.append(text[x[0] : x[1]])
         x = best[x][1]
     middle = v.encode(text[first:last])
-    tail = backtrace(v, text, last, b, text_start(v, text, last), end) if end[1] > last else []
+    tail = backtrace(v, text, b, None, end, last) if end[1] > last else []
     return np.array(v.ids(head[::-1]), "<u4").tobytes() + middle + np.array(v.ids(tail), "<u4").tobytes() if begin <= first else b""
 
 
@@ -309,7 +300,7 @@ def decode(v: Vocabulary, ids: bytes) -> str:
     return (raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace")
 
 
-_LOOK = 8192  # characters on either side of a chunk that go with it; more than a word that text_start looks at
+_LOOK = 256  # characters on either side of a chunk that go with it; more than twice the longest piece
 
 
 def _chunks(chunk: int):
