@@ -100,5 +100,11 @@ def test_command_line(spark, fasta, tmp_path):
     assert spark.read.csv(str(tmp_path / "ch"), sep="\t").count() >= 1
     run("dists", "lev", fasta, "--k", 31, "--gap", 10, "--out", tmp_path / "d")
     assert spark.read.csv(str(tmp_path / "d"), header=True).select(F.col("lev").cast("int")).first()[0] >= 0
+    (tmp_path / "req").mkdir()
+    (tmp_path / "req" / "a.json").write_text('{"id": "a", "query": "%s", "outer_radius": 0.0, "inner_radius": 0.0}\n' % q)
+    run("search", "serve", tmp_path / "req", "--index", idx, "--out", tmp_path / "answers", "--once")
+    assert {(r["id"], r["hit"]) for r in spark.read.json(str(tmp_path / "answers")).collect()} == {("a", q)}
+    run("stats", "probe", fasta, fasta, "--k", 20, "--gap", 5, "--out", tmp_path / "p")
+    assert spark.read.csv(str(tmp_path / "p"), header=True).where("lev = 0").count() > 0
     with pytest.raises(SystemExit):
         run("stats", "nothing")
