@@ -76,7 +76,7 @@ def with_blocks(rows: DataFrame, k: int, seq: str = "seq") -> DataFrame:
 def explode_kmers(rows: DataFrame, k: int, gap: int = 1, seq: str = "seq", drop_last: bool = False) -> DataFrame:
     """rows without seq, a row for each window: pos (0-based, every gap bases) and kmer. Sequences may be of any length."""
     cut = with_blocks(rows, k, seq)
-    keep = [c for c in cut.columns if not c.startswith("__")]
+    keep = [c for c in cut.columns if c not in ("__n", "__at", "__part")]
     first = F.ceil(F.col("__at") / gap).cast("int") * gap
     last = F.least(F.col("__at") + BLOCK - 1, F.col("__n") - k - (1 if drop_last else 0))
     here = F.when(first <= last, F.sequence(first, last, F.lit(gap))).otherwise(F.array().cast("array<int>"))
@@ -103,6 +103,15 @@ def fnv1a(codes: Column | str, order: list[int] | None = None) -> Column:
     return F.aggregate(seen, F.lit(FNV_OFFSET).cast("long"), lambda h, b: (h.bitwiseXOR(b.cast("long")) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(F.lit(MASK32).cast("long")))
 
 
+def fnv1a_kmer(kmer: Column | str, order: list[int] | int) -> Column:
+    """The same of a k-mer itself, as straight-line code: order has the places to visit, or is k."""
+    s, h = _c(kmer), F.lit(FNV_OFFSET).cast("long")
+    for i in range(order) if isinstance(order, int) else order:
+        code = (F.instr(F.lit(ALPHABET), F.substring(s, F.lit(i + 1), F.lit(1))) - 1).cast("long")
+        h = (h.bitwiseXOR(code) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(F.lit(MASK32).cast("long"))
+    return h
+
+
 def fast_modulo(value: Column | str, n: int) -> Column:
     """Map a 32-bit value to 0..n-1 by multiplication: (value * n) >> 32."""
     return F.shiftright(_c(value) * F.lit(n).cast("long"), 32)

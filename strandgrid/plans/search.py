@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,14 +36,19 @@ def kmer_search(queries: DataFrame, covered: DataFrame, radius: float, side: flo
     passed = qgram_filter(pairs, "query", "hit", QGRAM, qgram_threshold(k, QGRAM, misses))
     if metric == "none":
         return passed.withColumn("dist", F.lit(None).cast("double"))
-    dist = {"needle": edits, "hamming": hamming}[metric]("query", "hit", not raw).cast("double")
+    if metric == "needle":
+        bound = floor((inner_radius if raw else inner_radius * k) + 1e-9)
+        dist = bounded_edits("query", "hit", bound).cast("double") / F.lit(1.0 if raw else float(k))
+    else:
+        dist = hamming("query", "hit", not raw).cast("double")
     return passed.withColumn("dist", dist).where(F.col("dist") <= inner_radius)
 
 
 def linear_search(queries: DataFrame, members: DataFrame, metric: str = "needle") -> DataFrame:
     """(query, kmer, dist): every query against every row. The queries are a stated set, small beside the rows, which stay where they are."""
     dist = {"needle": edits, "hamming": hamming}[metric]("query", "kmer")
-    return members.select("kmer").join(F.broadcast(queries.select("query"))).withColumn("dist", dist)
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.select("kmer").repartition(n).join(F.broadcast(queries.select("query"))).withColumn("dist", dist)
 
 
 def query_windows(queries: DataFrame, k: int, query: str = "query_id", seq: str = "seq") -> DataFrame:
