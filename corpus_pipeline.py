@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgrid.llm import linededup, packing, pii, quality, simhash
+from strandgrid.llm import linededup, packing, pii, quality, similar
 from strandgrid.llm.common import cut, table
 
 
@@ -32,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id."""
-    return simhash.near_dedup(docs)
+    """One document of each group of near copies (0.8 or more of five-word shingles shared), that of the smallest doc_id."""
+    return similar.near_dedup(docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -224,13 +224,18 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, c
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, **how) -> DataFrame:
+def first_of_each(docs: DataFrame, members: DataFrame) -> DataFrame:
     """The rows of the smallest doc_id of each component, with their own columns. Rows that share that doc_id all stay, as do rows without a doc_id whose component has no other."""
-    keep = near_components(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    keep = members.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     safe, named = shielded(docs)
     return named(safe.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"))
 
 
+def near_dedup(docs: DataFrame, **how) -> DataFrame:
+    """One row of each component of near_components."""
+    return first_of_each(docs, near_components(docs, **how))
+
+
 def op10(docs: DataFrame) -> DataFrame:
     return near_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
