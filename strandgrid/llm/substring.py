@@ -2,9 +2,9 @@
 
 Words are normalised (A to Z in lower case, white space as separator only). A text is divided where a line
 begins, and before each word whose hash (with the next word's) is the smallest of the ``RADIUS`` words on either
-side; a paragraph is two neighbouring divisions together, so paragraphs overlap. As borders
-depend on the words around them alone, a passage has the same paragraphs wherever it
-stands, inside a line too. Paragraphs of under ``MIN_WORDS`` words are left alone.
+side; a paragraph begins with each division and is at least two of them, and as many more as it takes to have ``MIN_WORDS``
+words, so paragraphs overlap. As borders depend on the words around them alone, a passage has the same
+paragraphs wherever it stands, inside a line or in short lines too. Only the end of a text has no paragraph where under ``MIN_WORDS`` words are left.
 
 Digests (128 bits) found twice are grouped globally; the occurrence with the smallest (doc_id, offset) stays.
 Only suspects of a twice-seen Bloom filter are shuffled. Text that a kept
@@ -55,11 +55,12 @@ def paragraphs(raw: bytes) -> tuple[np.ndarray, ...]:
         return none, none, np.empty(0, np.uint64), np.empty(0, np.uint64)
     breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
     at = borders(h, np.searchsorted(breaks, start))
-    s, e = at, np.append(at[2:], [len(h)] * min(2, len(at)))[: len(at)]
-    if len(at) > 1:
-        s, e = s[:-1], e[:-1]  # the last division has no other after it
-    long = e - s >= MIN_WORDS
-    s, e = s[long], e[long]
+    ends = np.append(at[1:], len(h))
+    # the first division that ends after enough words, the next one at least
+    last = np.maximum(np.searchsorted(ends, at + MIN_WORDS), np.arange(len(at)) + 1)
+    if len(at) == 1:
+        last[:] = 0
+    s, e = at[last < len(ends)], ends[last[last < len(ends)]]
     return start[s], end[e - 1], range_hashes(h, s, e), range_hashes(mix(h ^ np.uint64(0x5851F42D4C957F2D)), s, e)
 
 

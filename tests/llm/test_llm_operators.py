@@ -140,6 +140,15 @@ def test_embedded_passages_are_found(unique):
     assert got[32] == 0 and got[33] > 400 and got[26] > 100 and got[3] == 0
 
 
+def test_passages_in_short_lines_are_found(spark):
+    g = np.random.default_rng(3)
+    lines = lambda n: "\n".join(" ".join(f"w{k}" for k in g.integers(0, 10**6, 3)) for _ in range(n))
+    passage = lines(20)  # 60 words in lines of three
+    rows = [(k, f"{lines(9)}\n{passage}\n{lines(9)}") for k in range(3)]
+    got = {r["doc_id"]: r["n_dropped_chars"] for r in substring.op3(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == 0 and min(got[1], got[2]) > 0.9 * len(passage)
+
+
 # -- 4 --------------------------------------------------------------------------------------
 
 
