@@ -6,13 +6,13 @@ side; a paragraph begins with each division and is at least two of them, and as
 words, so paragraphs overlap. As borders depend on the words around them alone, a passage has the same
 paragraphs wherever it stands, inside a line or in short lines too. Only the end of a text has no paragraph where under ``MIN_WORDS`` words are left.
 
-Digests (128 bits) found twice are grouped globally; the occurrence with the smallest (doc_id, offset) stays.
+Digests (128 bits) found twice are grouped globally; the occurrence with the smallest (doc_id, row, offset) stays.
 Only suspects of a twice-seen Bloom filter are shuffled. Text that a kept
 occurrence covers is never removed from its document. Removed spans are given with their offsets
 in the original text, in code points.
 
-Defined cases: a null or empty text has no paragraph and stays as it is; rows that share a doc_id count as one
-document, a null doc_id as one before all others; an empty table gives an empty result; other columns are carried along.
+Defined cases: a null or empty text has no paragraph and stays as it is; rows that share a doc_id, or have
+none, are documents of their own, a null doc_id before all others; an empty table gives an empty result; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -68,32 +68,32 @@ def _hashes(texts: list) -> np.ndarray:
     return np.concatenate([np.empty(0, np.uint64), *[paragraphs((t or "").encode())[2] for t in texts]])
 
 
-_OCC = "key long, start int, end int, digest binary"
+_OCC = "row long, key long, start int, end int, digest binary"
 
 
 def _suspects(bloom, n_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bloom.value, np.uint8)
         for b in batches:
-            keys, texts = b.column(0).to_numpy(), b.column(1).cast(pa.binary())
+            ids, keys, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).cast(pa.binary())
             for at in range(0, len(keys), 512):
                 rows = []
-                for key, t in zip(keys[at : at + 512].tolist(), texts.slice(at, 512).to_pylist(), strict=True):
+                for row, key, t in zip(ids[at : at + 512].tolist(), keys[at : at + 512].tolist(), texts.slice(at, 512).to_pylist(), strict=True):
                     s, e, d1, d2 = paragraphs(t or b"")
                     if len(s):
                         hit = suspected(bits, d1, n_bits)
-                        rows.append((np.full(int(hit.sum()), key), s[hit], e[hit], d1[hit], d2[hit]))
+                        rows.append((np.full(int(hit.sum()), row), np.full(int(hit.sum()), key), s[hit], e[hit], d1[hit], d2[hit]))
                 if rows:
-                    key, s, e, d1, d2 = (np.concatenate(x) for x in zip(*rows, strict=True))
+                    row, key, s, e, d1, d2 = (np.concatenate(x) for x in zip(*rows, strict=True))
                     both = np.stack([d1, d2], axis=1).astype("<u8").tobytes()
                     digest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(key), [None, pa.py_buffer(both)]).cast(pa.binary())
-                    yield pa.record_batch([pa.array(key), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), digest], names=["key", "start", "end", "digest"])
+                    yield pa.record_batch([pa.array(row), pa.array(key), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), digest], names=["row", "key", "start", "end", "digest"])
 
     return run
 
 
 def cut_spans(raw: bytes, found: list) -> list[tuple[int, int]]:
-    """Byte spans to remove, given (start, end, digest, in the document that keeps it) of the repeated paragraphs of a text."""
+    """Byte spans to remove, given (start, end, digest, in the row that keeps it) of the repeated paragraphs of a text."""
     cover = np.zeros(len(raw) + 2, np.int32)
     keep = np.zeros(len(raw) + 2, np.int32)
     kept = set()
@@ -143,15 +143,16 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) without repeated paragraphs, plus __spans: the removed [start, end) of the original text, in code points."""
     spark = docs.sparkSession
     docs, named = shielded(docs)
-    keyed = docs.withColumn("__key", F.coalesce("doc_id", F.lit(-(2**63))))
-    chars = docs.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    # rows have ids of their own, written once, as a doc_id may be null or that of several rows
+    keyed = cut(docs.withColumns({"__key": F.coalesce("doc_id", F.lit(-(2**63))), "__row": F.monotonically_increasing_id()}))
+    chars = keyed.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     n_bits = filter_bits(chars // 40, BITS_PER_UNIT)  # a paragraph begins every seven words
-    bloom = spark.sparkContext.broadcast(twice_seen(docs.select("text"), n_bits, _hashes))
-    occ = cut(keyed.select("__key", "text").mapInArrow(_suspects(bloom, n_bits), _OCC))
-    repeated = occ.groupBy("digest").agg(F.min("key").alias("keep"), F.count("*").alias("n")).where("n > 1")
-    found = join_counted(occ, cut(repeated), "digest", "n", F.xxhash64("key", "start").cast("string").cast("binary"))
-    lists = found.groupBy(F.col("key").alias("__id")).agg(F.collect_list(F.struct("start", "end", "digest", (F.col("key") == F.col("keep")).alias("mine"))).alias("__found"))
-    both = keyed.join(lists, F.col("__key") == F.col("__id"), "left").drop("__key", "__id")
+    bloom = spark.sparkContext.broadcast(twice_seen(keyed.select("text"), n_bits, _hashes))
+    occ = cut(keyed.select("__row", "__key", "text").mapInArrow(_suspects(bloom, n_bits), _OCC))
+    repeated = occ.groupBy("digest").agg(F.min(F.struct("key", "row")).alias("keep"), F.count("*").alias("n")).where("n > 1")
+    found = join_counted(occ, cut(repeated), "digest", "n", F.xxhash64("row", "start").cast("string").cast("binary"))
+    lists = found.groupBy(F.col("row").alias("__id")).agg(F.collect_list(F.struct("start", "end", "digest", (F.col("row") == F.col("keep.row")).alias("mine"))).alias("__found"))
+    both = keyed.join(lists, F.col("__row") == F.col("__id"), "left").drop("__key", "__row", "__id")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return named(both.mapInArrow(_drop(both.columns), f"{out}, __spans array<array<bigint>>"))
 

@@ -149,6 +149,20 @@ def test_passages_in_short_lines_are_found(spark):
     assert got[0] == 0 and min(got[1], got[2]) > 0.9 * len(passage)
 
 
+def test_rows_that_share_a_doc_id_keep_their_own_text(spark):
+    g = np.random.default_rng(4)
+    text = lambda n: " ".join(f"w{k}" for k in g.integers(0, 10**6, n))
+    passage = text(60)
+    for i in (None, 5):
+        rows = [(i, f"{text(400)}\n{passage}\n{text(30)}", "long"), (i, f"{text(12)}\n{passage}", "short"), (9, f"{text(20)}\n{passage}", "other")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, name string").repartition(2)
+        out = {r["name"]: r["text"] for r in substring.dedup_substrings(docs).collect()}
+        gone = [n for _, t, n in rows if passage not in out[n]]
+        assert len(gone) == 2 and "other" in gone
+        for _, t, n in rows:
+            assert out[n] == t or t.split(passage)[0].strip() in out[n] and t.split(passage)[1].strip() in out[n] and len(out[n]) < len(t) - 0.8 * len(passage)
+
+
 # -- 4 --------------------------------------------------------------------------------------
 
 
