@@ -9,7 +9,7 @@ information, or one behind ``mailto:``), iban (mod 97), ssn, account (digits beh
 cue), secret (a token, key or password behind a cue). A plain web address is nobody's and stays.
 
 Defined cases: a null or empty text has no spans, and a null text stays null when redacted; each row is treated by itself,
-so repeated rows have equal results; spans of different kinds may overlap, and are redacted as one;
+so repeated rows have equal results; very long texts take time in proportion to their length; spans of different kinds may overlap, and are redacted as one;
 an empty table gives an empty result; other columns are carried along untouched.
 """
 
@@ -45,7 +45,7 @@ _BETWEEN = re.compile(r"[\x20\t]{0,3}(?:(?:no|nr|number|num|id|is)\b\.?[\x20\t]{
 _IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9]){5,16}(?![0-9A-Za-z])")
-_OPAQUE = re.compile(r"[A-Za-z0-9_+/=.~-]{8,}")
+_OPAQUE = re.compile(r"[A-Za-z0-9_+/=.~-]+")
 
 
 def _automaton():
@@ -57,17 +57,38 @@ def _automaton():
     for d in "0123456789":
         found.add_word(d, (1, "0"))
     for s in SCHEMES:
-        for x in (s, s.upper(), s.capitalize()):
-            found.add_word(x, (len(x), "scheme"))
+        found.add_word(s, (len(s), "scheme"))
     for kind, cues in CUES.items():
         for c in cues:
-            for x in (c, c.upper(), c.capitalize(), c.title()):
-                found.add_word(x, (len(x), kind))
+            found.add_word(c, (len(c), kind))
     found.make_automaton()
     return found
 
 
 _machine: list = []
+_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def folded(text: str) -> str:
+    """The text with schemes and cues in lower case, no character moved."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_FOLD)
+
+
+class Run:
+    """The stretch of a text that a pattern of single characters matched last: an anchor inside it ends where it does, so no text is read twice."""
+
+    def __init__(self, text: str, pattern: re.Pattern):
+        self.text, self.pattern = text, pattern
+        self.start = self.end = -1
+
+    def end_from(self, at: int) -> tuple[int, bool]:
+        """Where the stretch that holds ``at`` ends (``at`` if none does), and whether that is a new one."""
+        if self.start <= at < self.end:
+            return self.end, False
+        m = self.pattern.match(self.text, at)
+        self.start, self.end = at, m.end() if m else at
+        return self.end, True
 
 
 def luhn(digits: str) -> bool:
@@ -94,7 +115,10 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
         _machine.append(_automaton())
     size = len(text)
     email_end = dotted_end = grouped_end = phone_end = 0
-    for last, (length, kind) in _machine[0].iter(text):
+    address, opaque = Run(text, _ADDRESS), Run(text, _OPAQUE)
+    tail = slash = host_end = at_sign = digit = letter = -1
+    dotted = False
+    for last, (length, kind) in _machine[0].iter(folded(text)):
         at = last + 1 - length
         if kind == "0":
             if at >= dotted_end:
@@ -128,14 +152,23 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
                 if 8 <= sum("0" <= c <= "9" for c in m.group()) <= 15:
                     found["phone"].append((at, m.end()))
         elif kind == "scheme":
-            m = _ADDRESS.match(text, last + 1)
-            if m:
-                e = m.end()
-                while e > last + 1 and text[e - 1] in ".,;:!?)]'":
-                    e -= 1
-                host = text[last + 1 : e].split("/", 1)[0]
-                if "@" in host and "." in host.rsplit("@", 1)[1]:
-                    found["url"].append((at, e))
+            e, new = address.end_from(last + 1)
+            if new:  # closing punctuation of the stretch
+                tail = e
+                while tail > last + 1 and text[tail - 1] in ".,;:!?)]'":
+                    tail -= 1
+                slash = host_end = -1
+            e = tail
+            if e <= last + 1 or (found["url"] and at < found["url"][-1][1]):
+                continue
+            if slash < last + 1:
+                slash = text.find("/", last + 1, e)
+                slash = slash if slash >= 0 else e
+            if host_end != slash:
+                host_end, at_sign = slash, text.rfind("@", last + 1, slash)
+                dotted = at_sign >= 0 and text.find(".", at_sign + 1, slash) >= 0
+            if at_sign > last and dotted:
+                found["url"].append((at, e))
         else:
             if at and (text[at - 1].isalnum()) or last + 1 < size and text[last + 1].isalnum():
                 continue  # part of a longer word
@@ -152,9 +185,14 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
             elif kind == "account":
                 m = _DIGITS.match(text, s)
             else:
-                m = _OPAQUE.match(text, s)
-                if m and not (any("0" <= c <= "9" for c in m.group()) and any(c.isalpha() for c in m.group()) and (m.end() - s >= 16 or re.search(r"[:=][\x20\t\"']*$", text[last + 1 : s]))):
-                    m = None
+                e, new = opaque.end_from(s)
+                if new:  # the last digit and letter of the stretch
+                    digit = next((i for i in range(e - 1, s - 1, -1) if "0" <= text[i] <= "9"), -1)
+                    letter = next((i for i in range(e - 1, s - 1, -1) if text[i].isalpha()), -1)
+                named = e - s >= 16 or re.search(r"[:=][\x20\t\"']*$", text[last + 1 : s])
+                if e - s >= 8 and digit >= s and letter >= s and named and (not found[kind] or s >= found[kind][-1][1]):
+                    found[kind].append((s, e))
+                continue
             if m and (not found[kind] or m.start() >= found[kind][-1][1]):
                 found[kind].append((m.start(), m.end()))
     return found
