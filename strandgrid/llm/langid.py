@@ -3,9 +3,9 @@
 The network reads the UTF-8 bytes of a text forwards and backwards, labels every
 position with a distribution over languages, and the mean of these is the
 document's. It is trained with numpy by backpropagation through time on
-a bounded sample (``PER_LANG`` windows of ``TRAIN_STEPS`` bytes for each language, of documents
-chosen by a hash of doc_id), with a loss at every position. Whole texts are labelled, in stretches of
-``STRETCH`` bytes that each begin with an empty state.
+a bounded sample (``PER_LANG`` texts for each language, chosen by a hash, of which windows of ``TRAIN_STEPS`` bytes are
+drawn), with a loss at every position. Whole texts are labelled, in stretches of ``STRETCH`` bytes; both recurrences begin
+``LEAD`` bytes before the positions that a stretch counts, so that each position has its surroundings, across borders too.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no labelled
 document to learn from every text is ``und``; ties go to the language that sorts first; an empty
@@ -18,13 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HIDDEN = 16
-PER_LANG, MAX_LANGS = 512, 64
+PER_LANG = 512
 TRAIN_STEPS, BATCH, UPDATES, RATE = 64, 128, 360, 0.01
-STRETCH, STRETCHES = 128, 1024
+STRETCH, LEAD, STRETCHES = 512, 32, 256
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -158,22 +158,46 @@ def document_probabilities(net: Network, texts: list[bytes], n_langs: int) -> np
     base = np.cumsum(size) - size
     doc = np.repeat(np.arange(len(texts)), count)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    start = base[doc] + k * STRETCH
-    length = np.minimum(STRETCH, size[doc] - k * STRETCH)
+    first = np.maximum(k * STRETCH - LEAD, 0)  # of the bytes read; those counted are from k * STRETCH on
+    own = k * STRETCH - first
+    counted = np.minimum(STRETCH, size[doc] - k * STRETCH)
+    length = np.minimum(own + counted + LEAD, size[doc] - first)
     order = np.argsort(-length, kind="stable")  # the short ones together
     for at in range(0, len(order), STRETCHES):
-        own = order[at : at + STRETCHES]
-        steps = int(length[own].max())
-        i = np.arange(steps)
-        mask = i < length[own][:, None]
-        x = buf[np.minimum(start[own][:, None] + i, len(buf) - 1)].astype(np.int64)
+        rows = order[at : at + STRETCHES]
+        i = np.arange(int(length[rows].max()))
+        mask = i < length[rows][:, None]
+        x = buf[np.minimum((base[doc] + first)[rows][:, None] + i, len(buf) - 1)].astype(np.int64)
         p = net.positions(net.states(x, mask))
-        if not mask.all():
-            p *= mask.T[:, :, None]
-        np.add.at(total, doc[own], p.sum(0, dtype=np.float64))
+        p *= ((i >= own[rows][:, None]) & (i < (own + counted)[rows][:, None])).T[:, :, None]
+        np.add.at(total, doc[rows], p.sum(0, dtype=np.float64))
     return total / np.maximum(size, 1)[:, None]
 
 
+def plain_probabilities(net: Network, text: bytes) -> np.ndarray:
+    """The same for one text, step by step from the definition, for tests."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    k, w = net.hidden, {n: v.astype(np.float64) for n, v in net.w.items()}
+    total = np.zeros(len(w["c"]))
+    for at in range(0, len(text), STRETCH):
+        part = text[max(0, at - LEAD) : at + STRETCH + LEAD]
+        found = []
+        for d, order in ((0, range(len(part))), (1, range(len(part) - 1, -1, -1))):
+            h, states = np.zeros(k), {}
+            for t in order:
+                a = w["w"][d][part[t]] + w["b"][d][0]
+                u = h @ w["u"][d]
+                z, r = sigmoid(a[:k] + u[:k]), sigmoid(a[k : 2 * k] + u[k : 2 * k])
+                m = np.tanh(a[2 * k :] + r * u[2 * k :])
+                h = states[t] = m + z * (h - m)
+            found.append(states)
+        for t in range(at, min(at + STRETCH, len(text))):
+            q = t - max(0, at - LEAD)
+            v = np.exp(found[0][q] @ w["o"][0] + found[1][q] @ w["o"][1] + w["c"])
+            total += v / v.sum()
+    return total / max(1, len(text))
+
+
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, langs = model.value
@@ -194,26 +218,22 @@ def _predict(model):
     return run
 
 
-def sample(docs: DataFrame, may_learn: Column, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> list:
-    """At most per_lang rows (lang, h, text) for each of max_langs languages; of a text, a stretch of 512 characters at a place given by a hash.
+def sample(docs: DataFrame, may_learn: Column, per_lang: int = PER_LANG) -> list:
+    """At most per_lang rows (lang, h, text) for each language; of a text, a stretch of 512 characters at a place given by a hash.
 
-    A language's rows are kept by a hash, at a rate that leaves about twice as many as are wanted; no rows are shuffled.
+    A language's rows are kept by a hash of doc_id and text, at a rate that leaves about twice as many as are wanted; only these are shuffled, copies once.
     """
     rows = docs.where(may_learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "doc_id", "text")
-    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not langs:
         return []
-    h = F.xxhash64("doc_id", F.length("text"))
     steps = 1 << 30
+    rate = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], min(steps, 2 * per_lang * steps // r["n"] + 1))])
     part = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - 511)).cast("int") + 1, F.lit(512))
-    keep = F.lit(False)
-    for r in langs:
-        keep = keep | ((F.col("lang") == r["lang"]) & (F.pmod(h, F.lit(steps)) < min(steps, 2 * per_lang * steps // r["n"] + 1)))
-    found = rows.where(keep).select("lang", h.alias("h"), part.alias("text")).limit(4 * per_lang * len(langs)).collect()
-    out: list = []
-    for r in langs:
-        out += sorted((x for x in found if x["lang"] == r["lang"]), key=lambda x: (x["h"], x["text"]))[:per_lang]
-    return out
+    kept = rows.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(steps)) < F.element_at(rate, F.col("lang")))
+    once = kept.groupBy("lang", "h").agg(F.min(part).alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return once.withColumn("place", place).where(F.col("place") <= per_lang).select("lang", "h", "text").collect()
 
 
 def fit(docs: DataFrame, may_learn: Column, **how) -> tuple[Network | None, list[str]]:
