@@ -19,6 +19,8 @@ single row, itself); an empty table gives an empty result; other columns are ign
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,28 +96,51 @@ def as_text(signature: Column) -> Column:
 _FIRST = -(2**63)
 
 
+def cuts_of(quantiles: list[int]) -> list[tuple[int, int]]:
+    """First (key, hash) of all ranges but the lowest, in order: a key that several quantiles name is itself divided, by the hash of its texts."""
+    out = []
+    for key in sorted(set(quantiles)):
+        r = bisect_right(quantiles, key) - bisect_left(quantiles, key)
+        out += [(key, _FIRST + (j << 64) // r) for j in range(r)]
+    return out
+
+
+def range_of(key: Column, h: Column, cuts: list[tuple[int, int]]) -> Column:
+    """How many of the cuts are at or before (key, h), by halving."""
+    if not cuts:
+        return F.lit(0)
+    keys, hashes = (F.lit([c[k] for c in cuts]).cast("array<bigint>") for k in (0, 1))
+    steps = [1 << j for j in range(len(cuts).bit_length() - 1, -1, -1)]
+
+    def step(at: Column, n: Column) -> Column:
+        i = at + n - 1
+        ck, ch = F.get(keys, i), F.get(hashes, i)
+        return F.when(F.coalesce((ck < key) | ((ck == key) & (ch <= h)), F.lit(False)), at + n).otherwise(at)
+
+    return F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), step)
+
+
 def in_order(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     """(__bucket, __rank, __copy, doc_id, text, __next): each text with the next document's, by ascending doc_id.
 
-    Documents are dealt to ranges of doc_id between quantiles, so that no task holds
-    all; the first document of each range is copied to the range before it (__copy = 1).
+    Documents are dealt to ranges of (doc_id, hash of the text) between quantiles, so that no task holds all, nor all rows of a
+    frequent doc_id or of none; the first document of each range is copied to the range before it (__copy = 1).
     """
     spark = docs.sparkSession
     n = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", text_or_empty().alias("text"), F.coalesce("doc_id", F.lit(_FIRST)).alias("__key"))
-    cuts = rows.select(F.percentile_approx("__key", [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda b: b <= F.col("__key"))) if cuts else F.lit(0)
-    rows = rows.withColumn("__bucket", bucket)
-    firsts = sorted((r["b"], r["k"]) for r in rows.groupBy(F.col("__bucket").alias("b")).agg(F.min("__key").alias("k")).collect())
+    rows = rows.withColumn("__hash", F.xxhash64("text"))
+    quantiles = rows.select(F.percentile_approx("__key", [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"] or []
+    rows = rows.withColumn("__bucket", range_of(F.col("__key"), F.col("__hash"), cuts_of(sorted(quantiles))))
+    firsts = sorted((r["b"], r["m"]["__key"], r["m"]["__hash"]) for r in rows.groupBy(F.col("__bucket").alias("b")).agg(F.min(F.struct("__key", "__hash")).alias("m")).collect())
     if not firsts:
         return rows.select("__bucket", F.lit(0).alias("__rank"), F.lit(0).alias("__copy"), "doc_id", "text", F.col("text").alias("__next"))
-    to = [(firsts[i - 1][0], k) for i, (_, k) in enumerate(firsts)]  # the first of all goes behind the last
-    values = ", ".join(f"({b}, {k if k > _FIRST else 'CAST(-9223372036854775808 AS BIGINT)'})" for b, k in to)
-    small = spark.sql(f"SELECT CAST(col1 AS INT) AS __bucket, CAST(col2 AS BIGINT) AS __key FROM VALUES {values}")
-    copies = rows.drop("__bucket").join(F.broadcast(small), "__key")
+    to = [(firsts[i - 1][0], k, h) for i, (_, k, h) in enumerate(firsts)]  # the first of all goes behind the last
+    values = ", ".join(f"({b}, '{k}', '{h}')" for b, k, h in to)
+    small = spark.sql(f"SELECT CAST(col1 AS INT) AS __bucket, CAST(col2 AS BIGINT) AS __key, CAST(col3 AS BIGINT) AS __hash FROM VALUES {values}")
+    copies = rows.drop("__bucket").join(F.broadcast(small), ["__key", "__hash"])
     both = rows.withColumn("__copy", F.lit(0)).unionByName(copies.withColumn("__copy", F.lit(1)))
-    w = Window.partitionBy("__bucket").orderBy("__copy", "__key", F.xxhash64("text"))
+    w = Window.partitionBy("__bucket").orderBy("__copy", "__key", "__hash")
     return both.select("__bucket", F.row_number().over(w).alias("__rank"), "__copy", "doc_id", "text", F.coalesce(F.lead("text").over(w), F.lit("")).alias("__next"))
 
 
