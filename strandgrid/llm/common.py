@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder all machines share (spark.checkpoint.dir). Where that is unset, a temporary one if there is one machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='strandgrid-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -111,13 +111,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     n_lines = docs.select(F.sum(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).alias("n")).first()["n"] or 0
     n_bits = filter_bits(n_lines, BITS_PER_LINE)
     bloom = spark.sparkContext.broadcast(twice_seen(docs.select("text"), n_bits, _hashes(min_chars)))
-    suspects = docs.select("doc_id", "text").mapInArrow(_suspects(bloom, n_bits, min_chars), "doc_id long, digest binary")
+    suspects = cut(docs.select("doc_id", "text").mapInArrow(_suspects(bloom, n_bits, min_chars), "doc_id long, digest binary"))
     first = suspects.groupBy("digest").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nameless"), F.count("*").alias("holders"))
     repeated = first.where((F.col("keep") < F.col("last")) | (F.col("nameless") & F.col("keep").isNotNull())).select("digest", F.when(~F.col("nameless"), F.col("keep")).alias("keep"), "holders")
     spread = F.xxhash64("doc_id").cast("string").cast("binary")
     lost = join_counted(suspects, cut(repeated), "digest", "holders", spread).where(~F.col("doc_id").eqNullSafe(F.col("keep")))
-    drops = lost.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("digest").alias("__drop"))
-    found = docs.join(drops, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    drops = lost.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("digest").alias("__drop")).withColumn("__named", F.lit(True))
+    # rows without a doc_id lose nothing: a hash of their text deals them out
+    found = docs.withColumns({"__at": F.coalesce("doc_id", F.xxhash64("text")), "__has": F.col("doc_id").isNotNull()})
+    found = found.join(drops, (F.col("__at") == F.col("__id")) & (F.col("__has") == F.col("__named")), "left").drop("__id", "__named", "__at", "__has")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return named(found.mapInArrow(_drop(found.columns, min_chars), f"{out}, __n_lines long, __n_dropped long"))
 
