@@ -5,8 +5,8 @@
    a lower bound on its bins from dual feasible functions.
 3. A partition whose bins equal its bound is certified: its bins are final, but for
    its emptiest one. The pieces of that bin and of all partitions with a gap
-   are exchanged, dealt to fewer partitions and packed again, as long as the
-   exchanged pieces need fewer bins than before.
+   are exchanged, dealt to half as many partitions for their number, each up to ``MOST_PIECES``, and packed again, until all
+   is certified, one partition holds the rest, or the exchanged pieces need no fewer bins than before.
 
 Tokens: a text is split at ASCII white space and each part is looked up in, or added to, a bounded
 per-process table; the tokenizer removes white space and merges nothing across it,
@@ -34,8 +34,8 @@ from .common import cut
 CAPACITY = 2048
 END = (0).to_bytes(4, "little")
 PIECES_PER_PARTITION = 8192
-ROUNDS = 4
-CACHE_WORDS, CACHE_BYTES = 600_000, 48  # entries, and the longest word kept
+MOST_PIECES = 1 << 17  # pieces that a task packs at once; some 10 MB
+CACHE_WORDS, CACHE_BYTES = 250_000, 24  # entries, and the longest word kept: some 40 MB in each process
 CACHE_TAILS = 10_000
 
 _tokens: dict[str, Words] = {}
@@ -87,6 +87,7 @@ class Words(dict):
         self.ids = np.array(ids, "<u4")
         self.merge = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.tails = {"": b""}
+        del model, vocab, ranks
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -206,7 +207,7 @@ def _pack(capacity: int, step: int):
         bins, offsets, fill = best_fit(lengths, capacity)
         certified = len(fill) == lower_bound(lengths, capacity)
         final = np.full(len(lengths), certified) & (bins != int(fill.argmin()))
-        cols = [*[t.column(c).combine_chunks() for c in names[:6]], pa.array((step << 56) | (bucket << 24) | bins), pa.array(offsets), pa.array(np.full(len(lengths), len(fill))), pa.array(final)]
+        cols = [*[t.column(c).combine_chunks() for c in names[:6]], pa.array((step << 54) | (bucket << 24) | bins), pa.array(offsets), pa.array(np.full(len(lengths), len(fill))), pa.array(final)]
         return pa.record_batch(cols, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,12 +228,13 @@ def _pack(capacity: int, step: int):
     return run
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32). The table is written once; rounds read it."""
+def pack(rows: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION, rounds: int | None = None) -> DataFrame:
+    """Add sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32). The table is written once; rounds read it. rounds: an end before the last exchange, for tests."""
     todo = cut(rows)
     todo = todo.withColumn("uid", F.monotonically_increasing_id())
     done, before = None, None
-    for step in range(rounds):
+    step = 0
+    while True:
         n = todo.count()
         buckets = max(1, -(-n // per_partition))
         bucket = F.pmod(F.xxhash64("uid", F.lit(step)), F.lit(buckets)).alias("bucket")
@@ -244,11 +246,12 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_
         fixed, rest = now.where("final"), now.where("NOT final")
         done = fixed if done is None else done.union(fixed)
         open_bins = rest.agg(F.countDistinct("sequence_id").alias("n")).first()["n"]
-        if buckets == 1 or open_bins <= 1 or step == rounds - 1:
+        step += 1
+        if buckets == 1 or open_bins <= 1 or step == rounds:
             return done.union(rest)
         before = (open_bins, rest)
+        per_partition = max(per_partition, min(2 * per_partition, MOST_PIECES))
         todo = rest.select("doc_id", "piece", "start", "length", "ids_crc32", "uid")
-    return done
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, **how) -> DataFrame:
