@@ -204,7 +204,7 @@ def links(fps: DataFrame, bits: int = BITS, cap: int = CAP) -> DataFrame:
     if bits != 2:
         raise ValueError("variants of one flipped bit stand for 2 differing bits")
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = fps.select("fp").mapInArrow(_replicate(bits), "anchor long, fp long, home boolean")
+    at = fps.select("fp").repartition(parts, "fp").mapInArrow(_replicate(bits), "anchor long, fp long, home boolean")
     found = cut(at.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(bits, cap), "u long, v long").distinct())
     full = found.where("v IS NULL").select("u")
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)])
@@ -231,8 +231,13 @@ def first_of_each(docs: DataFrame, members: DataFrame) -> DataFrame:
     return named(safe.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"))
 
 
-def near_dedup(docs: DataFrame, **how) -> DataFrame:
-    """One row of each component of near_components."""
+def near_dedup(docs: DataFrame, similar: bool = False, **how) -> DataFrame:
+    """One row of each component of near_components. similar: documents are linked by their five-word shingles, 0.8 or more
+    of which they share, instead of by a number of bits; fingerprints then give the first candidates (see similar.py)."""
+    if similar:
+        from .similar import near_dedup as by_similarity
+
+        return by_similarity(docs, **how)
     return first_of_each(docs, near_components(docs, **how))
 
 
