@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgrid.llm import linededup, packing, pii, quality, similar
+from strandgrid.llm import linededup, packing, pii, quality, simhash
 from strandgrid.llm.common import cut, table
 
 
@@ -22,27 +22,27 @@ def _columns_of(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break no rule."""
+    """Documents that break no rule. A null or empty text has too few words and goes; repeated rows are judged one by one."""
     return quality.apply_rules(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier one holds."""
+    """All documents, without the lines that an earlier one holds. A text whose lines all go is empty; a null one stays null; rows of one doc_id count as one document, as do those without."""
     return _columns_of(docs, linededup.dedup_lines(docs))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 or more of five-word shingles shared), that of the smallest doc_id."""
-    return similar.near_dedup(docs)
+    """One document of each group of near copies (0.8 or more of five-word shingles shared), that of the smallest doc_id. Texts without a word are copies of each other; rows that share the kept doc_id all stay."""
+    return simhash.near_dedup(docs, similar=True)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind. A null or empty text stays as it is."""
     return _columns_of(docs, pii.redacted(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences."""
+    """The pieces of all documents with their sequences. A null or empty text is a piece of one token; an empty table gives no row."""
     return packing.pack_documents(docs)
 
 

@@ -1,13 +1,18 @@
-"""Near-dedup by shared shingles: documents are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
+"""Near-dedup by similarity: documents are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
 
-Exact, by prefixes: with the hashes of a set in order, two sets of similarity t or more share a hash among the
+This is the general interface of operator 10 (``simhash.near_dedup`` with a similarity). Fingerprints of these shingles that meet at an
+anchor give the first candidates. Sixty-four bits can't bound the similarity, so all other links come by prefixes, exactly:
+with the hashes of a set in order, two sets of similarity t or more share a hash among the
 first n - ceil(t n) + 1 of each, and at the first one shared, at places i and j, i + j is at most n + m - 2 ceil(t (n + m) / (1 + t)).
-Sets that meet so are candidates. A set's sketch holds the parity of its hashes modulo 2 n to 4 n, and two sketches differ in no
+Sets that meet so are candidates. A set's sketch holds the parity of its hashes modulo 8 n to 16 n, and two sketches differ in no
 more bits than the sets do in shingles, so that most candidates fall before any text moves; the others are confirmed on the whole sets.
 
-Equal sets are one class before anything is compared. Candidates come in two rounds, so that large groups of
-copies need no comparison of all pairs: first each class with the least one under the same hash, then all
-pairs that the links of the first round have not joined, whose sketches are compared where they meet.
+Equal sets are one class before anything is compared. Candidates come in rounds, so that large groups of
+copies never give all their pairs: first fingerprints, and each class with the least one under the same hash; then, as long as any
+candidates are left that no links join, those of each hash, or one spanning tree of them, nearest sketches first, where they are over
+``MOST`` for each class there. A confirmed pair joins two components, a rejected one is not proposed again, and hashes without
+candidates drop out, so rounds get smaller and end when there is nothing left to decide. The first of these rounds takes every
+``EARLY``-th hash alone, as copies share most of theirs. A hash with over ``BLOCK`` classes is compared in blocks.
 
 Defined cases: texts of one to four words have one shingle, all their words; texts without a word have the empty set, and are
 linked to each other alone; repeated rows are linked; a null doc_id never is a component_id unless all doc_ids of the component are null.
@@ -23,15 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import range_hashes, words
-from .common import cut
+from . import simhash
+from .bytewords import mix, range_hashes, words
+from .common import cut, join_counted
 from .components import components
-from .simhash import first_of_each
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
 UP, DOWN = 4, 5
 _FLUSH = 1 << 16
+#: Classes under one hash that a task compares with each other; of more, each pair of blocks is compared apart.
+BLOCK = 4096
+MOST, EARLY = 4, 8
 
 
 def shingles(raw: bytes) -> np.ndarray:
@@ -58,7 +66,7 @@ def most_apart(total):
 
 
 def sketch(found: np.ndarray) -> bytes:
-    bits = 1 << max(6, (2 * len(found) - 1).bit_length())
+    bits = 1 << max(6, (8 * len(found) - 1).bit_length())
     return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -70,10 +78,20 @@ def bits_apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of shingles, as a signed number; of none, zero."""
+    bits = np.unpackbits(found.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > len(found), bitorder="little").view("<i8")[0])
+
+
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cls = [class_of(shingles(t or b"")) for t in b.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.record_batch([b.column(0), pa.array(cls, pa.int64())], names=["doc_id", "cls"])
+        cls, fps = [], []
+        for t in b.column(1).cast(pa.binary()).to_pylist():
+            found = shingles(t or b"")
+            cls.append(class_of(found))
+            fps.append(fingerprint(found))
+        yield pa.record_batch([b.column(0), pa.array(cls, pa.int64()), pa.array(fps, pa.int64())], names=["doc_id", "cls", "fp"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,16 +151,35 @@ def _possible(i, j, n, m):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows, in order of token and class, of tokens that two classes have, each class once, with the least class as lead."""
+    """The rows, in order of token and class, of tokens that two classes have, each class once, with the least class as lead. No token's rows are held."""
     names = ["token", "cls", "i", "n", "lead", "lead_i", "lead_n"]
-    for token, cls, i, n in _groups(batches):
+    lead = last = waiting = None  # of the token that may go on: its first row, its last one, and whether the first is still held back
+    for b in batches:
+        cols = [b.column(c).to_numpy() for c in names[:4]]
+        if lead is not None:
+            cols = [np.concatenate(([x], c)) for x, c in zip(last, cols, strict=True)]
+        token, cls = cols[0], cols[1]
+        if not len(token):
+            continue
         new = np.append(True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]))
-        token, cls, i, n = token[new], cls[new], i[new], n[new]
-        _, first, at, count = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
-        more = count[at] > 1
-        lead = first[at][more]
-        if len(lead):
-            yield pa.record_batch([pa.array(x) for x in (token[more], cls[more], i[more], n[more], cls[lead], i[lead], n[lead])], names=names)
+        cols = [c[new] for c in cols]
+        token = cols[0]
+        start = np.append(True, token[1:] != token[:-1])
+        first = np.flatnonzero(start)
+        group = np.cumsum(start) - 1
+        leads = [c[first].copy() for c in cols]
+        size = np.bincount(group)
+        more = size[group] > 1
+        if lead is not None:
+            for x, v in zip(leads, lead, strict=True):
+                x[0] = v
+            if not waiting:
+                more[group == 0] = True
+                more[0] = False  # given before
+        end = bool(size[-1] > 1) or (len(size) == 1 and lead is not None and not waiting)
+        lead, last, waiting = [c[-1] for c in leads], [c[-1] for c in cols], not end
+        if more.any():
+            yield pa.record_batch([pa.array(c[more]) for c in cols] + [pa.array(leads[k][group[more]]) for k in (1, 2, 3)], names=names)
 
 
 def _folded(sketches: list, size: int) -> np.ndarray:
@@ -154,21 +191,49 @@ def _folded(sketches: list, size: int) -> np.ndarray:
     return out
 
 
-def _once(us: list, vs: list) -> pa.RecordBatch:
-    both = np.unique(np.rec.fromarrays([np.concatenate(us), np.concatenate(vs)], names="u,v"))
-    return pa.record_batch([pa.array(np.ascontiguousarray(both[c])) for c in ("u", "v")], names=["u", "v"])
+def _tree(u: np.ndarray, v: np.ndarray, lu: np.ndarray, lv: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of edges that form a spanning forest of the labels, of the least total weight (Boruvka)."""
+    names, at = np.unique(np.concatenate([lu, lv]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    order = np.lexsort((v, u, w))
+    rank = np.empty(len(u), np.int64)
+    rank[order] = np.arange(len(u))
+    of = np.arange(len(names))
+    chosen: list[np.ndarray] = []
+    while True:
+        x, y = of[a], of[b]
+        out = np.flatnonzero(x != y)
+        if not len(out):
+            return np.unique(np.concatenate(chosen)) if chosen else np.empty(0, np.int64)
+        best = np.full(len(names), len(u))
+        np.minimum.at(best, x[out], rank[out])
+        np.minimum.at(best, y[out], rank[out])
+        e = order[np.unique(best[best < len(u)])]
+        chosen.append(e)
+        p, q = of[a[e]], of[b[e]]
+        low = np.arange(len(names))
+        while True:  # merge along the chosen edges
+            m = np.minimum(low[p], low[q])
+            new = low.copy()
+            np.minimum.at(new, p, m)
+            np.minimum.at(new, q, m)
+            new = new[new]
+            if (new == low).all():
+                break
+            low = new
+        of = low[of]
+
+
+def _key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return mix(u.view(np.uint64)) * np.uint64(3) + mix(v.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs under one token whose labels differ, and whose places, sizes and sketches rule nothing out."""
-    for token, cls, i, n, label, bits in _groups(batches):
-        _, at = np.unique(token, return_inverse=True)
-        low, high = np.full(at.max() + 1, np.iinfo(np.int64).max), np.full(at.max() + 1, np.iinfo(np.int64).min)
-        np.minimum.at(low, at, label)
-        np.maximum.at(high, at, label)
-        mixed = (low != high)[at]
-        token, cls, i, n, label, bits = (x[mixed] for x in (token, cls, i, n, label, bits))
+    """(part, u, v): for each part the pairs whose places, sizes and sketches rule nothing out and that were not rejected before, or of many a spanning forest over the labels."""
+    for part, cls, i, n, label, side, bits, no in _groups(batches):
         size = np.array([len(x) // 8 for x in bits], np.int64)
+        rejected = [np.empty(0, np.uint64), *[_key(np.full(len(x), c), np.asarray(x, np.int64)) for c, x in zip(cls, no, strict=True) if x is not None and len(x)]]
+        rejected = np.unique(np.concatenate(rejected))
         # sizes of similar sets are within 5/4, so their sketches' are equal or one is twice the other
         words_of, place = {}, {}
         for k in np.unique(size).tolist():
@@ -176,30 +241,46 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place[k] = np.zeros(len(size), np.int64)
             place[k][own] = np.arange(len(own))
             words_of[k] = _folded(bits[own].tolist(), k)
-        us, vs, size_of = [], [], 0
-        x, s = np.arange(len(token)), 1
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * 3  # places of both, bits apart
+        _, of = np.unique(part, return_inverse=True)
+        room, total = MOST * np.bincount(of), np.zeros(of.max() + 1, np.int64)
+        count = 0
+
+        def fold(held: list) -> list:
+            """A forest for each part with more pairs than it has room for: labels under different parts are different."""
+            full = (total > room)[of[held[0]]]
+            a, b, w = (x[full] for x in held)
+            la, lb = (mix(label[x].view(np.uint64) ^ mix(part[x].view(np.uint64))) for x in (a, b))
+            keep = _tree(cls[a], cls[b], la, lb, w)
+            return [np.concatenate([x[~full], x[full][keep]]) for x in held]
+
+        x, s = np.arange(len(part)), 1
         while True:
-            x = x[x + s < len(token)]
-            x = x[token[x] == token[x + s]]
+            x = x[x + s < len(part)]
+            x = x[part[x] == part[x + s]]
             if not len(x):
                 break
-            near = (label[x] != label[x + s]) & _possible(i[x], i[x + s], n[x], n[x + s])
-            a, b = x[near], x[near] + s
+            y = x + s
+            near = (label[x] != label[y]) & ((side[x] != side[y]) | (side[x] == 2)) & _possible(i[x], i[y], n[x], n[y])
+            a, b = x[near], y[near]
             least = np.minimum(size[a], size[b])
             for k in np.unique(least).tolist():
                 p, q = a[least == k], b[least == k]
                 step = max(1, _FLUSH // k)
-                far = [np.bitwise_count(words_of[k][place[k][p[z : z + step]]] ^ words_of[k][place[k][q[z : z + step]]]).sum(1, dtype=np.int64) for z in range(0, len(p), step)]
-                ok = np.concatenate([np.empty(0, np.int64), *far]) <= most_apart(n[p].astype(np.int64) + n[q])
-                us.append(np.minimum(cls[p[ok]], cls[q[ok]]))
-                vs.append(np.maximum(cls[p[ok]], cls[q[ok]]))
-                size_of += int(ok.sum())
+                far = np.concatenate([np.empty(0, np.int64), *[np.bitwise_count(words_of[k][place[k][p[z : z + step]]] ^ words_of[k][place[k][q[z : z + step]]]).sum(1, dtype=np.int64) for z in range(0, len(p), step)]])
+                ok = far <= most_apart(n[p].astype(np.int64) + n[q])
+                if len(rejected):
+                    ok &= ~np.isin(_key(np.minimum(cls[p], cls[q]), np.maximum(cls[p], cls[q])), rejected)
+                held = [np.concatenate(z) for z in zip(held, (p[ok], q[ok], far[ok]), strict=True)]
+                np.add.at(total, of[p[ok]], 1)
+                count += int(ok.sum())
             s += 1
-            if size_of >= _FLUSH:
-                yield _once(us, vs)
-                us, vs, size_of = [], [], 0
-        if us:
-            yield _once(us, vs)
+            if count >= _FLUSH:
+                held = fold(held)
+                count = 0
+        if len(held[0]):
+            a, b, _ = fold(held)
+            yield pa.record_batch([pa.array(part[a]), pa.array(np.minimum(cls[a], cls[b])), pa.array(np.maximum(cls[a], cls[b]))], names=["part", "u", "v"])
 
 
 def _not_ruled_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,20 +292,19 @@ def _not_ruled_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (u, v) of (u, v, text of u, text of v) that are similar enough."""
+    """(u, v, alike) of (u, v, text of u, text of v)."""
     last, a = None, np.empty(0, np.uint64)
     for batch in batches:
-        us, vs = [], []
         for at in range(0, len(batch), 256):
-            u, v, x, y = (c.to_pylist() for c in batch.slice(at, 256).columns)
+            part = batch.slice(at, 256)
+            u, v, x, y = (c.to_pylist() for c in part.columns)
+            found = []
             for k in range(len(u)):
                 if u[k] != last:
                     last, a = u[k], shingles(x[k])
                 b = shingles(y[k])
-                if alike(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)):
-                    us.append(u[k])
-                    vs.append(v[k])
-        yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+                found.append(bool(alike(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(found, pa.bool_())], names=["u", "v", "alike"])
 
 
 def _of(whole: DataFrame, c: str, *names: str) -> DataFrame:
@@ -237,41 +317,77 @@ def _near(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return cut(both.select("u", "v", (F.col("__u0") + F.col("__v0")).alias("n"), "__u1", "__v1").mapInArrow(_not_ruled_out, "u long, v long"))
 
 
-def _links(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The written pairs that are similar enough."""
+def _judged(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """(u, v, alike) of the written pairs, by the whole sets."""
     both = pairs.join(_of(whole, "v", "text"), "v").join(_of(whole, "u", "text"), "u").select("u", "v", "__u0", "__v0")
-    return cut(both.mapInArrow(_confirm, "u long, v long"))
+    return cut(both.mapInArrow(_confirm, "u long, v long, alike boolean"))
+
 
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """(part, cls, i, n, label, side) of rows with the count m of their token: a token of one block is a part; of more, each pair of blocks is one, in which
+    the two sides are compared (side 0 and 1), or a block with itself (side 2)."""
+    n = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    rows = rows.withColumns({"__n": n, "__x": F.pmod(F.xxhash64("cls"), n).cast("int")})
+    rows = rows.withColumn("__y", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    low, high = F.least("__x", "__y"), F.greatest("__x", "__y")
+    part = F.when(F.col("__n") == 1, F.col("token")).otherwise(F.xxhash64("token", low, high))
+    return rows.select("token", part.alias("part"), "cls", "i", "n", "label", F.when(F.col("__x") == F.col("__y"), 2).otherwise((F.col("__x") < F.col("__y")).cast("int")).alias("side"))
 
-def links(texts: DataFrame) -> DataFrame:
-    """Edges (u, v) of classes that join exactly the texts which links of the least similarity join."""
+
+def links(texts: DataFrame, first: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) of classes that join exactly the texts which links of the least similarity join. first: candidates (u, v) found by other means."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = texts.select("text").mapInArrow(_prefixes, "token long, cls long, i int, n int")
     order = tokens.repartition(parts, "token").sortWithinPartitions("token", "cls")
     shared = cut(order.mapInArrow(_shared, "token long, cls long, i int, n int, lead long, lead_i int, lead_n int"))
-    of = shared.select("cls").distinct()
-    whole = cut(texts.select("text").mapInArrow(_whole, "cls long, n int, sketch binary, text binary").join(of, "cls", "left_semi").dropDuplicates(["cls"]))
+    of = shared.select("cls")
+    if first is not None:
+        first = cut(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
+        of = of.union(first.select("u")).union(first.select("v"))
+    whole = cut(texts.select("text").mapInArrow(_whole, "cls long, n int, sketch binary, text binary").join(of.distinct(), "cls", "left_semi").dropDuplicates(["cls"]))
     least = F.ceil(F.lit(UP) * (F.col("n") + F.col("lead_n")) / F.lit(UP + DOWN))
     possible = (F.col("i") + F.col("lead_i") <= F.col("n") + F.col("lead_n") - 2 * least) & (DOWN * F.least("n", "lead_n") >= UP * F.greatest("n", "lead_n"))
-    star = shared.where((F.col("cls") != F.col("lead")) & possible).select(F.col("lead").alias("u"), F.col("cls").alias("v")).distinct()
-    first = _links(_near(star, whole), whole)
-    label = cut(components(first)).toDF("__n", "__l")
-    known = whole.select("cls", "sketch").join(label, F.col("cls") == F.col("__n"), "left").select("cls", F.coalesce("__l", "cls").alias("label"), "sketch")
-    rows = shared.select("token", "cls", "i", "n").join(known, "cls").select("token", "cls", "i", "n", "label", "sketch")
-    apart = rows.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_apart, "u long, v long")
-    return first.union(_links(cut(apart.distinct()), whole))
+    star = shared.where((F.col("cls") != F.col("lead")) & possible).select(F.col("lead").alias("u"), F.col("cls").alias("v"))
+    judged = _judged(_near((star if first is None else star.union(first)).distinct(), whole), whole)
+    found, rejected = judged.where("alike").select("u", "v"), judged.where("NOT alike").select("u", "v")
+    everything = shared.select("token", "cls", "i", "n")
+    rows, early = everything.where(F.pmod(F.col("token"), F.lit(EARLY)) == 0), True
+    while True:
+        label = cut(components(found)).toDF("__n", "__l")
+        rows = rows.select("token", "cls", "i", "n").join(label, F.col("cls") == F.col("__n"), "left").select("token", "cls", "i", "n", F.coalesce("__l", "cls").alias("label"))
+        rows = cut(rows)
+        mixed = cut(rows.groupBy("token").agg(F.min("label").alias("__a"), F.max("label").alias("__b"), F.count("*").alias("m")).where("__a <> __b").select("token", "m"))
+        rows = cut(join_counted(rows, mixed, "token", "m", F.col("cls")).select("token", "cls", "i", "n", "label", "m"))
+        no = rejected.groupBy(F.col("u").alias("cls")).agg(F.collect_list("v").alias("no"))
+        own = whole.select("cls", "sketch").join(rows.select("cls").distinct(), "cls", "left_semi").join(no, "cls", "left")
+        dealt = _in_blocks(rows, block).join(own, "cls").select("part", "cls", "i", "n", "label", "side", "sketch", "no")
+        apart = cut(dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_apart, "part long, u long, v long"))
+        judged = _judged(cut(apart.select("u", "v").distinct()), whole)
+        if judged.isEmpty() and not early:
+            return found
+        found, rejected = found.union(judged.where("alike").select("u", "v")), rejected.union(judged.where("NOT alike").select("u", "v"))
+        if early:
+            rows, early = everything, False
+            continue
+        # a hash without candidates now never has any
+        live = _in_blocks(rows, block).select("token", "part").distinct().join(apart.select("part").distinct(), "part", "left_semi").select("token").distinct()
+        rows = rows.join(live, "token", "left_semi")
 
 
-def near_components(docs: DataFrame) -> DataFrame:
+def near_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, cls, component_id) of every document."""
-    of = cut(docs.select("doc_id", "text").mapInArrow(_classes, "doc_id long, cls long"))
-    classes = of.groupBy("cls").agg(F.min("doc_id").alias("first"))
-    label = components(links(docs)).toDF("__n", "label")
+    of = cut(docs.select("doc_id", "text").mapInArrow(_classes, "doc_id long, cls long, fp long"))
+    classes = cut(of.groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
+    # anchors bring near fingerprints together; equal ones are linked to the least class
+    home = classes.groupBy("fp").agg(F.min("cls").alias("home"))
+    near = simhash.links(home).join(home.toDF("u", "__u"), "u").join(home.toDF("v", "__v"), "v").select(F.col("__u").alias("u"), F.col("__v").alias("v"))
+    same = classes.join(home, "fp").where("cls <> home").select(F.col("home").alias("u"), F.col("cls").alias("v"))
+    label = components(links(docs, near.union(same), block)).toDF("__n", "label")
     known = classes.join(label, F.col("cls") == F.col("__n"), "left").select("cls", "first", F.coalesce("label", "cls").alias("label"))
     least = known.groupBy("label").agg(F.min("first").alias("component_id"))
     return of.join(known.join(least, "label").select("cls", "component_id"), "cls").select("doc_id", "cls", "component_id")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of the smallest doc_id of each component, with their own columns; see simhash.first_of_each."""
-    return first_of_each(docs, near_components(docs))
+    return simhash.first_of_each(docs, near_components(docs, block))

@@ -80,6 +80,18 @@ def test_fingerprints(spark, sf, unique):
         assert all(len(v) == 1 for v in by_text.values())
 
 
+@pytest.mark.parametrize("same", [None, 7])
+def test_a_frequent_doc_id_is_divided(spark, same):
+    rows = [(same, f"text {k} of many") for k in range(400)] + [(k, f"other {k}") for k in range(1000, 1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes = [r["count"] for r in fingerprints.in_order(docs).where("__copy = 0").groupBy("__bucket").count().collect()]
+    assert sum(sizes) == 600 and max(sizes) < 120
+    got = fingerprints.in_order(docs).where("__copy = 0").select("text", "__next").collect()
+    assert sorted(r["text"] for r in got) == sorted(r["__next"] for r in got) == sorted(t for _, t in rows)  # one ring
+    after = {r["text"]: r["__next"] for r in got}
+    assert all(after[f"other {k}"] == f"other {k + 1}" for k in range(1000, 1199))
+
+
 def test_collision_rate_is_weighted_jaccard(spark):
     df = spark.createDataFrame([(1, "a a a b b c " * 5), (2, "a b b b d " * 6)], "id long, text string")
     a, b = ([r["signature"] for r in fingerprints.signatures(df, "text", ["id"], samples=512).orderBy("id").collect()])
@@ -293,6 +305,31 @@ def test_language_accuracy(spark, sf):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in got]) >= 0.95
 
 
+def test_document_probabilities_step_by_step():
+    net, g = langid.Network(3, 5, seed=4), np.random.default_rng(9)
+    texts = [bytes(g.integers(0, 256, n).astype(np.uint8)) for n in (1, 31, langid.STRETCH, langid.STRETCH + 1, 3 * langid.STRETCH + 40, 0)]
+    got = langid.document_probabilities(net, texts, 3)
+    for t, row in zip(texts, got, strict=True):
+        assert row == pytest.approx(langid.plain_probabilities(net, t), abs=1e-4)
+
+
+def test_predictions_are_those_of_the_network(odd):
+    net = langid.Network(3, 4, seed=6)
+    langs = ["aa", "bb", "cc"]
+    got = {(r["doc_id"], r["lang_pred"], round(r["score"], 3)) for r in langid.predict(odd, (net, langs)).collect()}
+    for i, t in pairs(odd):
+        p = langid.plain_probabilities(net, (t or "").encode()[:3000]) if t and any(map(str.isalpha, t)) and len(t) < 3000 else None
+        if p is not None:
+            assert any(j == i and lang == langs[int(p.argmax())] and abs(score - p.max()) < 2e-3 for j, lang, score in got)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(None, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 30 + str(j), f"l{k:03}") for k in range(70) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.sample(docs, F.lit(True), 2)
+    assert collections.Counter(r["lang"] for r in found) == {f"l{k:03}": 2 for k in range(70)}
+
+
 def test_no_letters(odd):
     got = {r["doc_id"]: r["lang_pred"] for r in langid.op7(odd).collect()}
     assert [got[i] for i in (20, 21, 22, 34)] == ["und"] * 4 and got[1] != "und"
@@ -327,6 +364,24 @@ def test_pii_by_cues():
     assert pii.redact("mail a@b.co now", pii.find("mail a@b.co now")) == "mail <EMAIL> now"
 
 
+@pytest.mark.parametrize("unit", ["token=", "http://", "mailto:", "@", "1", "+1", "a@", "http://a@b.c/", "secret: a1b2c3d4e5f6g7h8 "])
+def test_pii_takes_time_in_proportion(unit):
+    import time
+
+    pii.find("x")
+    took = []
+    for n in (100_000, 800_000):
+        began = time.process_time()
+        pii.find(unit * (n // len(unit)))
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * max(took[0], 0.02)
+
+
+def test_pii_cues_in_any_case():
+    for t in ("pAssWord: abcd1234", "HtTp://me:pw@host.example/x", "IbAn DE89370400440532013000", "aCCount 12345678"):
+        assert sum(map(len, pii.find(t).values())) >= 1, t
+
+
 def test_pii_query(odd):
     got = {r["doc_id"]: r for r in pii.op8(odd).collect()}
     assert (got[31]["n_email"], got[31]["n_ip"], got[31]["n_phone"]) == (10, 1, 1)

@@ -3,8 +3,9 @@
 import collections
 
 import corpus_pipeline
+import test_similar
 
-from strandgrid.llm import linededup, pii, quality, simhash
+from strandgrid.llm import linededup, pii, quality
 from strandgrid.llm.common import cut
 
 
@@ -25,8 +26,8 @@ def test_stages(spark, sf):
     assert all(len(before[i].split("\n")) - want[i][1] == (len(after[i].split("\n")) if want[i][0] > want[i][1] else 0) for i in before)
     assert all(r["n_chars"] == len(r["text"]) for r in lines.collect())
     near = cut(stages["simhash_near_dedup"](spark, lines, sf))
-    groups = simhash.brute(list(after.items()))
-    assert near.columns == columns and texts(near) == {i: after[i] for i in after if groups[i][1] == i}
+    groups = test_similar.plain(list(after.items()))
+    assert near.columns == columns and texts(near) == {i: after[i] for i in after if groups[i] == i}
     clean = cut(stages["pii"](spark, near, sf))
     assert texts(clean) == {i: pii.redact(t, pii.find(t)) for i, t in texts(near).items()}
     packed = stages["best_fit_packing"](spark, clean, sf).collect()

@@ -3,6 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
+import pytest
 
 from strandgrid.llm import similar
 
@@ -45,12 +48,40 @@ def varied(seed=5):
     return rows
 
 
-def test_components_are_those_of_all_pairs(spark):
+@pytest.mark.parametrize("block", [similar.BLOCK, 3])
+def test_components_are_those_of_all_pairs(spark, block):
     rows = varied()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in similar.near_components(docs, block).collect()} == plain(rows)
+
+
+def test_many_copies_that_are_not_all_linked(spark, monkeypatch):
+    """Copies of one text with two groups of changes each: some pairs are links, most are not."""
+    monkeypatch.setattr(similar, "MOST", 0)  # trees from the start
+    g = random.Random(11)
+    words = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(80):
+        copy = list(words)
+        for k in g.sample(range(0, 120, 5), 3):
+            copy[k] = f"x{g.randrange(3)}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r["doc_id"]: r["component_id"] for r in similar.near_components(docs).collect()} == plain(rows)
 
 
+def test_shared_rows_do_not_depend_on_batches():
+    g = np.random.default_rng(2)
+    rows = sorted({(int(t), int(c)) for t, c in g.integers(0, 30, (300, 2))} | {(99, 5)})
+    rows = [r for r in rows for _ in range(int(g.integers(1, 3)))]
+    table = pa.table({"token": pa.array([r[0] for r in rows]), "cls": pa.array([r[1] for r in rows]), "i": pa.array([r[1] for r in rows], pa.int32()), "n": pa.array([9] * len(rows), pa.int32())})
+    held = {t: sorted({c for u, c in rows if u == t}) for t, _ in rows}
+    want = [(t, c, c, 9, held[t][0], held[t][0], 9) for t in sorted(held) for c in held[t] if len(held[t]) > 1]
+    for size in (1, 2, 7, 1000):
+        got = pa.Table.from_batches(list(similar._shared(iter(table.to_batches(max_chunksize=size)))))
+        assert list(zip(*(c.to_pylist() for c in got.columns), strict=True)) == want
+
+
 def test_the_stage_drops_copies_with_many_bits_between_them(spark):
     g = random.Random(8)
     words = [f"w{g.randrange(5000)}" for _ in range(200)]
