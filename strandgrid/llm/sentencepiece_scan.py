@@ -10,13 +10,17 @@ A giant text is split into chunks. A boundary's states are the occurrences that
 across it; each chunk yields the matrix of best weights from the states of its left boundary
 to those of its right one. Matrices of a text are combined associatively; a prefix product gives
 the state at every boundary, and each chunk is then backtraced by itself, between two known states.
-Where a chunk holds a place that no piece crosses (after a letter, before a space), all but the ends of
-its matrix is fixed, and the part between is encoded by the library, as are texts that aren't giant.
+
+A place that no piece crosses (after a letter, before a space, in models none of whose pieces has a space after a letter) cuts the
+lattice: a chunk's matrix is then the outer sum of what reaches the first such place and what leaves the last one, and the
+words between are scanned and backtraced one by one, each different word once for as long as a bounded table holds it. Texts that fit one chunk are
+scanned the same way. The library loads the model; no text is encoded by it.
 
 Decoding joins the pieces, turns byte pieces into bytes and removes the space put before a text.
 
 Defined cases: a null text has null ids, an empty text none; invalid ids raise an error; characters the
-model lacks become byte pieces; rows that share a doc_id, or have none, are encoded one by one; an empty table gives
+model lacks become byte pieces, or unknown ones where it has no such; of segmentations with equal best sums, which byte-pair models never have,
+a giant text may get another one than the library's; rows that share a doc_id, or have none, are encoded one by one; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -35,7 +39,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 GIANT, CHUNK = 32_768, 16_384  # code points of a giant text, and of a chunk
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 300_000, 32, 200_000
+UNKNOWN_PENALTY = 10.0  # below the least score, for a character that a unigram model lacks
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NONE = float("-inf")
@@ -61,11 +66,20 @@ class Vocabulary:
             proto = pb.ModelProto.FromString(f.read())
         if proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("only models that leave their text as it is are supported")
+        if proto.trainer_spec.model_type not in (1, 2):
+            raise ValueError("only unigram and byte-pair models are supported")
         self.unigram = proto.trainer_spec.model_type == 1
-        normal = {1, 4}  # NORMAL and USER_DEFINED pieces are matched in text
-        self.pieces = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in normal}
+        if not proto.normalizer_spec.add_dummy_prefix or proto.trainer_spec.treat_whitespace_as_suffix or any(p.type == 4 for p in proto.pieces):
+            raise ValueError("only models with a space before their text, and without pieces defined by users, are supported")
+        self.pieces = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
         self.scores = [p.score for p in proto.pieces]
         self.longest = max(map(len, self.pieces))
+        self.unknown = min(self.scores[i] for i in self.pieces.values()) - UNKNOWN_PENALTY
+        self.unk, self.fallback = proto.trainer_spec.unk_id, proto.trainer_spec.byte_fallback
+        # no piece has a space after a letter: words are cut off from each other
+        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
+        # neighbours inside any piece: between two others no piece crosses either
+        self.inside = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         # what each id stands for; unknown pieces show as the library shows them, control pieces not at all
         shows = {2: " \u2047 ", 3: ""}
@@ -73,49 +87,97 @@ class Vocabulary:
         self.pairs: dict[tuple[str, str], float] = {}
         self.words: dict[str, bytes] = {}
 
-    def plain(self, text: str) -> list[int]:
-        """Ids of escaped text by the library, without the space it puts before a text."""
-        if text.startswith(SPACE):
-            return self.sp.encode(text[1:].replace(SPACE, " "), num_threads=1) if len(text) > 1 else [self.sp.piece_to_id(SPACE)]
-        # the library always begins with a space: a line break before the text can't be joined to it
-        ids = self.sp.encode("\n" + text.replace(SPACE, " "), num_threads=1)
-        return ids[2:]
+    def merged(self, text: str) -> list[str]:
+        """What a byte-pair model makes of a short text: the best-scored neighbours are joined, the first of equals, until none are a piece."""
+        parts = list(text)
+        while True:
+            at, best = -1, NONE
+            for i in range(len(parts) - 1):
+                k = self.pieces.get(parts[i] + parts[i + 1])
+                if k is not None and self.scores[k] > best:
+                    at, best = i, self.scores[k]
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def known(self, text: str) -> bool:
         return text in self.pieces
 
     def joined(self, a: str | None, b: str) -> float:
+        """The weight of piece b after piece a (None: before it the text begins, or a word does)."""
         if self.unigram:
-            return self.scores[self.pieces[b]] if b in self.pieces else -100.0 * len(b.encode())
-        if a is None:
-            return 0.0
+            return self.scores[self.pieces[b]] if b in self.pieces else self.unknown
         w = self.pairs.get((a, b))
         if w is None:
-            w = 0.0 if self.plain(a + b) == self.ids([a, b]) else NONE
-            if len(self.pairs) < 1_000_000:
+            # a piece must be what the model makes of its own text, and two of both
+            w = 0.0 if self.merged((a or "") + b) == ([b] if a is None else [a, b]) else NONE
+            if len(self.pairs) < CACHE_PAIRS:
                 self.pairs[a, b] = w
         return w
 
     def ids(self, pieces: list[str]) -> list[int]:
-        out = []
+        out: list[int] = []
+        unknown = False  # characters that a model without byte pieces lacks are one id together
         for p in pieces:
             if p in self.pieces:
                 out.append(self.pieces[p])
-            else:
+            elif self.fallback:
                 out += [self.bytes[b] for b in p.encode()]
+            elif not unknown:
+                out.append(self.unk)
+            unknown = p not in self.pieces and not self.fallback
         return out
 
+    def scan(self, w: str) -> list[str]:
+        """Pieces of a text that stands by itself: the best path, by (max, +) from left to right.
+
+        At each place the best state before is what ends there. Of a byte-pair model it is one alone, as a path of
+        weight 0 is the model's own segmentation of all up to there: the first that is found is it.
+        """
+        n, longest, pieces, joined, pairs = len(w), self.longest, self.pieces, self.joined, self.pairs
+        last: list[str | None] = [None] * (n + 1)
+        weight = [0.0] + [NONE] * n
+        for e in range(1, n + 1):
+            best, own = NONE, None
+            for at in range(e - longest if e > longest else 0, e):
+                piece = w[at:e]
+                if piece in pieces or at == e - 1:
+                    c = pairs.get((last[at], piece))
+                    if c is None:
+                        c = joined(last[at], piece)
+                    c += weight[at]
+                    if c > best:
+                        best, own = c, piece
+                        if c == 0.0 and not self.unigram:
+                            break
+            weight[e], last[e] = best, own
+        path: list[str] = []
+        while n:
+            path.append(last[n])
+            n -= len(last[n])
+        return path[::-1]
+
     def word(self, w: str) -> bytes:
+        """Ids of a word, part by part between places that no piece crosses."""
         found = self.words.get(w)
         if found is None:
-            found = np.array(self.plain(w), "<u4").tobytes()
+            inside = self.inside
+            cuts = [0, *[i for i in range(1, len(w)) if w[i - 1 : i + 1] not in inside], len(w)]
+            if len(cuts) == 2:
+                found = np.array(self.ids(self.scan(w)), "<u4").tobytes()
+            else:
+                found = b"".join([self.word(w[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
             if len(w) <= CACHE_CHARS and len(self.words) < CACHE_WORDS:
                 self.words[w] = found
         return found
 
     def encode(self, escaped: str) -> bytes:
-        """Ids of escaped text word by word: no piece has a space after a letter."""
-        return b"".join([self.word(w) for w in _WORD.findall(escaped)])
+        """Ids of escaped text: word by word where no piece crosses from one to the next."""
+        if not escaped:
+            return b""
+        if not self.by_word or not self.fallback:
+            return np.array(self.ids(self.scan(escaped)), "<u4").tobytes()
+        return b"".join(map(self.word, _WORD.findall(escaped)))
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -209,7 +271,7 @@ def transfer(v: Vocabulary, text: str, a: int, b: int) -> Matrix:
     rows: list = states(v, text, a) if a else [None]
     cols: list = states(v, text, b)
     w = np.full((len(rows), len(cols)), NONE)
-    places = hard(text, a + v.longest, b) if not v.unigram else None
+    places = hard(text, a + v.longest, b) if v.by_word and v.fallback else None
     if places:
         # whatever comes before, a piece begins at these places: the matrix is an outer sum
         first, last = places
@@ -244,23 +306,26 @@ def backtrace(v: Vocabulary, text: str, b: int, start: State | None, end: State,
     return path[::-1]
 
 
-def chunk_ids(v: Vocabulary, text: str, a: int, b: int, start: State | None, end: State) -> bytes:
-    """Ids of the pieces after start up to end. Between places that no piece crosses the library encodes."""
-    places = hard(text, (start[1] if start else 0) + 1, min(b, end[0] + 1)) if not v.unigram else None
+def chunk_pieces(v: Vocabulary, text: str, a: int, b: int, start: State | None, end: State) -> list[str] | bytes:
+    """The pieces after start up to end; their ids, where places that no piece crosses allow to scan word by word."""
+    places = hard(text, (start[1] if start else 0) + 1, min(b, end[0] + 1)) if v.by_word and v.fallback else None
     if not places:
-        return np.array(v.ids(backtrace(v, text, b, start, end)), "<u4").tobytes()
+        return backtrace(v, text, b, start, end)
     first, last = places
-    begin = start[1] if start else 0
-    # from begin to the first such place, given the piece before
+    # from the state before to the first such place
     best = forward(v, text[:first], start, first)
-    x = next((s for s in best if s[1] == first and s != start), None)
+    x = max((s for s in best if s[1] == first and s != start), key=lambda s: best[s][0], default=None)
     head: list[str] = []
     while x is not None and x != start:
         head.append(text[x[0] : x[1]])
         x = best[x][1]
-    middle = v.encode(text[first:last])
     tail = backtrace(v, text, b, None, end, last) if end[1] > last else []
-    return np.array(v.ids(head[::-1]), "<u4").tobytes() + middle + np.array(v.ids(tail), "<u4").tobytes() if begin <= first else b""
+    return np.array(v.ids(head[::-1]), "<u4").tobytes() + v.encode(text[first:last]) + np.array(v.ids(tail), "<u4").tobytes()
+
+
+def chunk_ids(v: Vocabulary, text: str, a: int, b: int, start: State | None, end: State) -> bytes:
+    found = chunk_pieces(v, text, a, b, start, end)
+    return found if isinstance(found, bytes) else np.array(v.ids(found), "<u4").tobytes()
 
 
 def encode_scan(v: Vocabulary, text: str, chunk: int = CHUNK) -> bytes:
@@ -371,6 +436,14 @@ def _traces(path: str):
     return run
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A text's ids from those of its chunks, in order."""
+    for b in batches:
+        for at in range(len(b)):
+            part = b.slice(at, 1)
+            yield pa.record_batch([part.column(0), pa.array([b"".join(part.column(1)[0].as_py())], pa.binary())], names=["doc_id", "ids"])
+
+
 def _small(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
@@ -388,6 +461,8 @@ def encode(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk:
     model = model or default_model()
     if chunk < 2048:
         raise ValueError("chunks must be longer than what a boundary looks at")
+    if not vocabulary(model).fallback:
+        giant = 1 << 31  # unknown characters on both sides of a border would be one id: texts stay whole
     long = F.coalesce(F.length("text") > giant, F.lit(False))
     few = docs.where(long).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
     parts = cut(few.mapInArrow(_chunks(chunk), _CHUNK))
@@ -395,7 +470,7 @@ def encode(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk:
     solved = parts.repartition(n, "uid", "k").mapInArrow(_transfers(model), "uid long, k int, matrix binary").groupBy("uid").applyInPandas(_solve, "uid long, k int, s0 long, s1 long, e0 long, e1 long")
     traced = parts.join(solved, ["uid", "k"]).select("uid", "doc_id", "k", "base", "a", "b", "part", "s0", "s1", "e0", "e1").mapInArrow(_traces(model), "uid long, doc_id long, k int, ids binary")
     whole = traced.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("x"))
-    joined = whole.select("doc_id", F.aggregate("x", F.lit(bytearray()), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+    joined = whole.select("doc_id", F.col("x.ids").alias("x")).mapInArrow(_together, "doc_id long, ids binary")
     return docs.where(~long).select("doc_id", "text").mapInArrow(_small(model), "doc_id long, ids binary").union(joined)
 
 
