@@ -123,6 +123,36 @@ def test_scan_at_any_chunk_size():
                 assert np.frombuffer(sentencepiece_scan.encode_scan(v, t, chunk), "<u4").tolist() == v.sp.encode(t)
 
 
+@pytest.mark.parametrize("fallback", [True, False])
+def test_unigram_models(spark, tmp_path, fallback):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    g = np.random.default_rng(4)
+    m = pb.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.unk_id = 1, fallback, 0
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = "identity", True, False
+    names = sorted({x + y for x in ("", "\u2581") for y in ("a", "b", "c", "ab", "bc", "abc", "ca", "aab", "bca")} | {"\u2581"})  # no two orders of the same pieces give one text
+    for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3), *((f"<0x{b:02X}>", 6) for b in range(256 * fallback)), *((x, 1) for x in names)):
+        m.pieces.add(piece=piece, type=kind, score=float(-g.random() * 8 - 1) if kind == 1 else 0.0)
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(m.SerializeToString())
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    v = sentencepiece_scan.vocabulary(path)
+    texts = ["".join(g.choice(list("aaabbcc  \u00e9"), int(n))) for n in g.integers(1, 300, 60)]
+    for t in texts:
+        want = sp.encode(t)
+        assert np.frombuffer(v.encode(sentencepiece_scan.escape(t)), "<u4").tolist() == want
+        for chunk in (20, 70):
+            if fallback:
+                assert np.frombuffer(sentencepiece_scan.encode_scan(v, t, chunk), "<u4").tolist() == want
+    texts += ["abc cab " * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in sentencepiece_scan.encode(docs, path, giant=3000, chunk=2048).collect()}
+    assert got == {i: sp.encode(t) for i, t in enumerate(texts)}
+
+
 def test_matrices_are_associative():
     v = sentencepiece_scan.vocabulary(sentencepiece_scan.default_model())
     text = sentencepiece_scan.escape("thereisnothingbetweentheseletters")
@@ -219,19 +249,42 @@ def test_language_model(spark, sf, unique, table_words):
             base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
             assert (got[i]["n_tokens"], got[i]["n_known"]) == (len(w), sum(c[x] > 0 for x in w))
             assert got[i]["base_score"] == pytest.approx(base, rel=1e-9)
+            # the score, token by token
+            h, shape = lm.text_words((t or "").encode())
+            cls = [int(x) for x in model.classes_of(h, shape)]
+            score = sum(math.log10((c[x] + 0.5) * (model.step[a][b] + model.rest)) for x, a, b in zip(w, [int(model.by_shape[-1]), *cls], cls, strict=False))
+            assert got[i]["score"] == pytest.approx(score, rel=1e-9)
         if docs is not unique:  # the odd rows are no corpus to learn classes from
             held = [got[i] for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1]
             assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_words_go_to_the_class_of_their_bigrams(spark):
+    g = np.random.default_rng(8)
+    kinds = [[f"{a}{k}" for k in range(200)] for a in "xyz"]  # kinds follow each other in turn
+    texts = [(i, " ".join(kinds[(j + i) % 3][min(199, int(g.exponential(30)))] for j in range(200))) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    counts = lm.cut(lm.word_counts(docs))
+    model = lm.fit(docs, counts, n_units=30, n_classes=6)
+    rows = [r for r in counts.collect() if r["n"] >= 20]
+    known = {r["h"]: r["shape"] for r in rows}
+    of = {}
+    for kind, ws in enumerate(kinds):
+        h, shape = lm.text_words(" ".join(ws).encode())
+        cls = model.classes_of(h[:-1], shape[:-1])
+        of[kind] = collections.Counter(int(c) for x, c in zip(h[:-1].view(np.int64).tolist(), cls, strict=True) if x in known)
+    main = {kind: set(c) for kind, c in of.items()}
+    mixed = sum(min(of[a][x], of[b][x]) for a in of for b in of if a < b for x in main[a] & main[b])
+    assert mixed < 0.1 * sum(sum(c.values()) for c in of.values())
+
+
 def test_mixture_is_a_distribution(spark, sf):
     train = documents(spark, sf)
     counts = lm.cut(lm.word_counts(train))
     model = lm.fit(train, counts)
     rows = counts.toPandas()
     h = rows["h"].to_numpy().view(np.uint64)
-    units = lm.units_of(h, rows["shape"].to_numpy(), model.hot)
-    cls = model.cls[units].astype(int)
+    cls = model.classes_of(h, rows["shape"].to_numpy()).astype(int)
     for before in (0, 5, 63):
         known = ((rows["n"].to_numpy() + 0.5) * (model.step[before][cls] + model.rest)).sum()
         unseen = 0.5 * (model.step[before].sum() + model.rest)
@@ -242,7 +295,7 @@ def test_exchange_never_lowers_the_likelihood():
     g = np.random.default_rng(6)
     truth = g.integers(0, 4, 60)
     rate = g.random((4, 4)) ** 4
-    pairs_ = g.poisson(40 * rate[truth][:, truth]).astype(np.float32)
+    pairs_ = g.poisson(40 * rate[truth][:, truth]).astype(np.float64)
     f = lambda x: (x * np.log(np.maximum(x, 1e-12))).sum()
 
     def likelihood(cls, k):
