@@ -29,7 +29,7 @@ from .bytewords import code_points_before, mix, range_hashes, words
 from .common import cut, join_counted, shielded
 
 RADIUS = 3
-MIN_WORDS = 10
+MIN_WORDS = 20  # shorter runs of words come again in clean prose too
 BITS_PER_UNIT = 8
 
 
