@@ -4,7 +4,7 @@ This is the general interface of operator 10 (``simhash.near_dedup`` with a simi
 anchor give the first candidates. Sixty-four bits can't bound the similarity, so all other links come by prefixes, exactly:
 with the hashes of a set in order, two sets of similarity t or more share a hash among the
 first n - ceil(t n) + 1 of each, and at the first one shared, at places i and j, i + j is at most n + m - 2 ceil(t (n + m) / (1 + t)).
-Sets that meet so are candidates. A set's sketch holds the parity of its hashes modulo 8 n to 16 n, and two sketches differ in no
+Sets that meet so are candidates. A set's sketch holds the parity of its hashes modulo 4 n to 8 n, and two sketches differ in no
 more bits than the sets do in shingles, so that most candidates fall before any text moves; the others are confirmed on the whole sets.
 
 Equal sets are one class before anything is compared. Candidates come in rounds, so that large groups of
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .bytewords import mix, range_hashes, words
-from .common import cut, join_counted
+from .common import cut, discard, join_counted
 from .components import components
 
 SHINGLE = 5
@@ -66,7 +66,7 @@ def most_apart(total):
 
 
 def sketch(found: np.ndarray) -> bytes:
-    bits = 1 << max(6, (8 * len(found) - 1).bit_length())
+    bits = 1 << max(6, (4 * len(found) - 1).bit_length())
     return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -191,6 +191,25 @@ def _folded(sketches: list, size: int) -> np.ndarray:
     return out
 
 
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that have a partner under their part which places and sizes don't rule out: the others need no sketch."""
+    names = ["part", "cls", "i", "n", "label", "side"]
+    for part, cls, i, n, label, side in _groups(batches):
+        keep = np.zeros(len(part), bool)
+        x, s = np.arange(len(part)), 1
+        while True:
+            x = x[x + s < len(part)]
+            x = x[part[x] == part[x + s]]
+            if not len(x):
+                break
+            y = x + s
+            near = (label[x] != label[y]) & ((side[x] != side[y]) | (side[x] == 2)) & _possible(i[x], i[y], n[x], n[y])
+            keep[x[near]] = keep[y[near]] = True
+            s += 1
+        if keep.any():
+            yield pa.record_batch([pa.array(c[keep]) for c in (part, cls, i, n, label, side)], names=names)
+
+
 def _tree(u: np.ndarray, v: np.ndarray, lu: np.ndarray, lv: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Places of edges that form a spanning forest of the labels, of the least total weight (Boruvka)."""
     names, at = np.unique(np.concatenate([lu, lv]), return_inverse=True)
@@ -351,19 +370,26 @@ def links(texts: DataFrame, first: DataFrame | None = None, block: int = BLOCK)
     judged = _judged(_near((star if first is None else star.union(first)).distinct(), whole), whole)
     found, rejected = judged.where("alike").select("u", "v"), judged.where("NOT alike").select("u", "v")
     everything = shared.select("token", "cls", "i", "n")
-    rows, early = everything.where(F.pmod(F.col("token"), F.lit(EARLY)) == 0), True
+    rows, early, old = everything.where(F.pmod(F.col("token"), F.lit(EARLY)) == 0), True, []
     while True:
         label = cut(components(found)).toDF("__n", "__l")
         rows = rows.select("token", "cls", "i", "n").join(label, F.col("cls") == F.col("__n"), "left").select("token", "cls", "i", "n", F.coalesce("__l", "cls").alias("label"))
-        rows = cut(rows)
-        mixed = cut(rows.groupBy("token").agg(F.min("label").alias("__a"), F.max("label").alias("__b"), F.count("*").alias("m")).where("__a <> __b").select("token", "m"))
-        rows = cut(join_counted(rows, mixed, "token", "m", F.col("cls")).select("token", "cls", "i", "n", "label", "m"))
+        labelled = cut(rows)
+        mixed = cut(labelled.groupBy("token").agg(F.min("label").alias("__a"), F.max("label").alias("__b"), F.count("*").alias("m")).where("__a <> __b").select("token", "m"))
+        rows = cut(join_counted(labelled, mixed, "token", "m", F.col("cls")).select("token", "cls", "i", "n", "label", "m"))
+        discard(labelled, mixed, *old)
+        dealt = _in_blocks(rows, block).select("part", "cls", "i", "n", "label", "side").repartition(parts, "part").sortWithinPartitions("part")
+        hopeful = cut(dealt.mapInArrow(_hopeful, "part long, cls long, i int, n int, label long, side int"))
         no = rejected.groupBy(F.col("u").alias("cls")).agg(F.collect_list("v").alias("no"))
-        own = whole.select("cls", "sketch").join(rows.select("cls").distinct(), "cls", "left_semi").join(no, "cls", "left")
-        dealt = _in_blocks(rows, block).join(own, "cls").select("part", "cls", "i", "n", "label", "side", "sketch", "no")
+        own = whole.select("cls", "sketch").join(hopeful.select("cls").distinct(), "cls", "left_semi").join(no, "cls", "left")
+        dealt = hopeful.join(own, "cls").select("part", "cls", "i", "n", "label", "side", "sketch", "no")
         apart = cut(dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_apart, "part long, u long, v long"))
-        judged = _judged(cut(apart.select("u", "v").distinct()), whole)
+        proposed = cut(apart.select("u", "v").distinct())
+        judged = _judged(proposed, whole)
+        discard(proposed, hopeful)
+        old = [rows, apart]
         if judged.isEmpty() and not early:
+            discard(shared, *old)
             return found
         found, rejected = found.union(judged.where("alike").select("u", "v")), rejected.union(judged.where("NOT alike").select("u", "v"))
         if early:
