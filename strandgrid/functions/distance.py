@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .ramanujan import rft
 from .sequence import bases, distinct_kmers, reverse_complement
@@ -106,16 +106,23 @@ def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("ascii", "replace"), np.uint8)
 
 
-def local_scores(queries: list[str], targets: list[str], at_once: int = 128) -> np.ndarray:
-    """Best Smith-Waterman score of each pair, affine gaps: a gap of n bases costs open + (n - 1) extend; N scores 0 against all.
+#: In one number: a unit of score outweighs any number of columns, each of which takes one away.
+_UNIT = 1 << 24
+
+
+def local_alignments(queries: list[str], targets: list[str], at_once: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Best Smith-Waterman score of each pair, and the columns (gaps included) of the shortest alignment that has it.
 
+    Affine gaps: a gap of n bases costs open + (n - 1) extend; N scores 0 against all.
     Pairs of like size go together, filled up with bases that match nothing; anti-diagonals of
     all their matrices are whole-array steps, so that no cell waits for its neighbour.
     """
     out = np.zeros(len(queries), np.int64)
     size = [len(q) + len(t) for q, t in zip(queries, targets, strict=True)]
     order = sorted(range(len(queries)), key=size.__getitem__)
-    low = np.int32(-(1 << 29))
+    low = np.int64(-(1 << 60))
+    match, mismatch, neutral = (np.int64(x * _UNIT - 1) for x in (MATCH, MISMATCH, 0))
+    first, more = GAP_OPEN * _UNIT + 1, GAP_EXTEND * _UNIT + 1
     for at in range(0, len(order), at_once):
         own = order[at : at + at_once]
         m, n = max(len(queries[i]) for i in own), max(len(targets[i]) for i in own)
@@ -123,16 +130,16 @@ def local_scores(queries: list[str], targets: list[str], at_once: int = 128) ->
             continue
         q = np.stack([_codes(queries[i].ljust(m, "<")) for i in own])
         t = np.stack([_codes(targets[i].ljust(n, ">")) for i in own])[:, ::-1]
-        h1 = np.zeros((len(own), m + 1), np.int32)  # the last diagonal by row, and the one before it
-        h2, best = h1.copy(), np.zeros(len(own), np.int32)
+        h1 = np.zeros((len(own), m + 1), np.int64)  # the last diagonal by row, and the one before it
+        h2, best = h1.copy(), np.zeros(len(own), np.int64)
         e1, f1 = np.full_like(h1, low), np.full_like(h1, low)
         for d in range(2, m + n + 1):
             i0, i1 = max(1, d - n), min(m, d - 1) + 1
             a, b = q[:, i0 - 1 : i1 - 1], t[:, n - d + i0 : n - d + i1]
-            s = np.where(a == b, np.int32(MATCH), np.int32(MISMATCH))
-            s[(a == 78) | (b == 78)] = 0
-            e = np.maximum(e1[:, i0:i1] - GAP_EXTEND, h1[:, i0:i1] - GAP_OPEN)
-            f = np.maximum(f1[:, i0 - 1 : i1 - 1] - GAP_EXTEND, h1[:, i0 - 1 : i1 - 1] - GAP_OPEN)
+            s = np.where(a == b, match, mismatch)
+            s[(a == 78) | (b == 78)] = neutral
+            e = np.maximum(e1[:, i0:i1] - more, h1[:, i0:i1] - first)
+            f = np.maximum(f1[:, i0 - 1 : i1 - 1] - more, h1[:, i0 - 1 : i1 - 1] - first)
             h = np.maximum(np.maximum(h2[:, i0 - 1 : i1 - 1] + s, 0), np.maximum(e, f))
             np.maximum(best, h.max(axis=1), out=best)
             h2, h1 = h1, np.zeros_like(h1)
@@ -140,7 +147,13 @@ def local_scores(queries: list[str], targets: list[str], at_once: int = 128) ->
             e1, f1 = np.full_like(h1, low), np.full_like(h1, low)
             e1[:, i0:i1], f1[:, i0:i1] = e, f
         out[own] = best
-    return out
+    score = -(-out // _UNIT)
+    return score, score * _UNIT - out
+
+
+def local_scores(queries: list[str], targets: list[str], at_once: int = 128) -> np.ndarray:
+    """Best Smith-Waterman score of each pair."""
+    return local_alignments(queries, targets, at_once)[0]
 
 
 def global_cost(a: str, b: str, match: float = -1.0, mismatch: float = 0.5, gap: float = 0.6) -> float:
@@ -164,6 +177,16 @@ def smith_waterman(query: pd.Series, target: pd.Series) -> pd.Series:
     return out
 
 
+@F.pandas_udf(StructType([StructField("score", LongType()), StructField("aln_len", LongType())]))
+def smith_waterman_aligned(query: pd.Series, target: pd.Series) -> pd.DataFrame:
+    """Score, and columns of the alignment."""
+    known = (query.notna() & target.notna()).to_numpy()
+    out = pd.DataFrame({"score": pd.Series([None] * len(query), dtype="Int64"), "aln_len": pd.Series([None] * len(query), dtype="Int64")})
+    found = local_alignments(query[known].to_list(), target[known].to_list())
+    out.loc[known, "score"], out.loc[known, "aln_len"] = found
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def needleman_wunsch(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([global_cost(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])

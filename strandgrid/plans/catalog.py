@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distance as dist
@@ -105,14 +105,14 @@ def query(sql: str | None = None):
 # -- sequences ------------------------------------------------------------------------------
 
 
-@query(f"WITH c AS ({_contigs_sql()}) {_windows_sql('c', 'contig_id', K, 25)}")
+@query(f"WITH c AS ({_contigs_sql()}) {_windows_sql('c', 'contig_id', K)}")
 def kmer_extract(spark, sf):
-    return windows(contigs(spark, sf), "contig_id", K, 25)
+    return windows(contigs(spark, sf), "contig_id", K)
 
 
-@query(f"WITH c AS ({_contigs_sql(1)}), w AS ({_windows_sql('c', 'contig_id', 32, 100, True)}) SELECT DISTINCT least(kmer, {_rc('kmer')}) AS kmer FROM w")
+@query(f"WITH c AS ({_contigs_sql(1)}), w AS ({_windows_sql('c', 'contig_id', 32, 1, True)}) SELECT DISTINCT least(kmer, {_rc('kmer')}) AS kmer FROM w")
 def kmer_canonical_distinct(spark, sf):
-    return search.canonical_kmers(contigs(spark, sf, 1), 32, 100)
+    return search.canonical_kmers(contigs(spark, sf, 1), 32, 1)
 
 
 @query(f"WITH q AS ({_asked_sql()}), w AS ({_windows_sql('q', 'query_id')}) SELECT query_id, pos, array_to_string({_codes('kmer')}, ',') AS codes, kmer AS decoded, {_rc('kmer')} AS rc, least(kmer, {_rc('kmer')}) AS canonical FROM w")
@@ -334,9 +334,6 @@ def all_distances(spark, sf):
     return pairs.select("k1", "k2", dist.hamming("k1", "k2").alias("hamming"), dist.needleman_wunsch("k1", "k2").alias("needle"), dist.jaccard_distance("k1", "k2").alias("subkmer"), dist.l2(periods("r1"), periods("r2")).alias("rft_sum_euclid"), dist.l1(absolute("r1"), absolute("r2")).alias("rft_concat_manhattan"))
 
 
-_RFT32 = _RFT_SQL  # the transform itself has its own check; here distances of raw vectors
-
-
 @query(f"WITH s AS ({_asked_sql()}), w AS ({_windows_sql('s', 'query_id', K, K)}), t AS ({_windows_sql('c', 'contig_id', K, 100)}), c AS ({_contigs_sql()}) SELECT w.query_id, w.pos, t.kmer, levenshtein(w.kmer, t.kmer) AS dist FROM w, (SELECT DISTINCT kmer FROM t) t WHERE w.pos = 0".replace("WITH s", "WITH c AS (" + _contigs_sql() + "), s", 1).replace(f", c AS ({_contigs_sql()}) SELECT", " SELECT", 1))
 def linear_search_needle(spark, sf):
     q = windows(asked(spark, sf), "query_id", K, K).where("pos = 0").select("query_id", "pos", F.col("kmer").alias("query"))
@@ -576,16 +573,19 @@ def contig_matches(spark, sf):
     return intervals.condense(_matched(spark, sf, _sections(spark, sf)), ["query_id", "contig_id"], K, cap=20)
 
 
+_RFT_SIDE = 0.25
+
+
 @query()
 def contig_search(spark, sf):
     """The whole search: RFT vectors, a grid of them, sections, coarse search, merge, alignment."""
     queries, targets = asked(spark, sf), contigs(spark, sf)
     model = pca.fit(windows(queries, "query_id", K, 5), "kmer", K)
-    placed = grid.cover(pca.project(windows(targets, "contig_id", K, 1), "kmer", model, 4), 0.5).select("contig_id", "pos", "cell")
+    placed = grid.cover(pca.project(windows(targets, "contig_id", K, 1), "kmer", model, 4), _RFT_SIDE).select("contig_id", "pos", "cell")
     sections = intervals.sections(placed, K)
-    found = grid.cells(sections, 0.5)
+    found = grid.cells(sections, _RFT_SIDE)
     w = pca.project(search.query_windows(queries, K), "kmer", model, 4).select("query_id", "q_start", "q_end", "v")
-    hits = search.contig_search(queries, w, found, sections, targets, 0.0, 0.25, 4, K, 60.0)
+    hits = search.contig_search(queries, w, found, sections, targets, 0.0, _RFT_SIDE, 4, K, 60.0)
     return hits.select("query_id", "contig_id", F.round("score", 6).alias("score"), "qstart", "qend", "tstart", "tend")
 
 
@@ -706,10 +706,6 @@ def dump_contigs(spark, sf):
     return contigs(spark, sf, 1).select("contig_id", F.length("seq").cast("long").alias("n"), (count("G") + count("C")).cast("long").alias("gc"))
 
 
-def rank_of(column: str, by: str):
-    return F.row_number().over(Window.partitionBy(by).orderBy(column))
-
-
 def queries() -> dict:
     return dict(QUERIES)
 

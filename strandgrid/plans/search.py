@@ -7,7 +7,7 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import bounded_edits, edits, hamming, percent_identity, smith_waterman, strand_edits
+from ..functions.distance import bounded_edits, edits, hamming, percent_identity, smith_waterman, smith_waterman_aligned, strand_edits
 from ..functions.sequence import canonical, explode_kmers
 from ..operators.bloom import qgram_filter, qgram_threshold
 from ..operators.grid import cells as cells_of
@@ -88,12 +88,15 @@ def contig_search(queries: DataFrame, windows: DataFrame, cells: DataFrame, sect
 
 
 def ssw_search(queries: DataFrame, targets: DataFrame, identity: float, least: int = 256) -> DataFrame:
-    """(query_id, target_id, score, aln_len): Smith-Waterman of a stated set of queries against all targets; as length of
-    an alignment stands that of the shorter sequence, and both must be met."""
-    rows = targets.select("target_id", F.col("seq").alias("__t")).join(F.broadcast(queries.select("query_id", F.col("seq").alias("__q"))))
-    rows = rows.withColumn("aln_len", F.least(F.length("__q"), F.length("__t"))).where(F.col("aln_len") >= least)
-    rows = rows.withColumn("score", percent_identity(smith_waterman("__q", "__t"), "aln_len"))
-    return rows.where(F.col("score") >= identity).select("query_id", "target_id", "score", "aln_len")
+    """(query_id, target_id, score, aln_len): Smith-Waterman of a stated set of queries against all targets. aln_len: the columns of the
+    alignment, gaps included; score: in per cent of the best that so many bases can have. Both must be met."""
+    queries = queries.select("query_id", F.col("seq").alias("__q"))
+    rows = targets.select("target_id", F.col("seq").alias("__t")).join(F.broadcast(queries))
+    # each column of an alignment has a base of one of the two
+    rows = rows.where(F.length("__q") + F.length("__t") >= least)
+    rows = rows.withColumn("__a", smith_waterman_aligned("__q", "__t"))
+    rows = rows.select("query_id", "target_id", percent_identity(F.col("__a.score"), F.col("__a.aln_len")).alias("score"), F.col("__a.aln_len").alias("aln_len"))
+    return rows.where((F.col("aln_len") >= least) & (F.col("score") >= identity))
 
 
 def canonical_kmers(contigs: DataFrame, k: int, gap: int, seq: str = "seq") -> DataFrame:

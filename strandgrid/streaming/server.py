@@ -32,13 +32,13 @@ def answer(requests: DataFrame, covered: DataFrame, vector: Callable[[DataFrame,
     """(id, query, hit, dist) of the searches among parsed requests; a handshake is answered by a row without a hit.
 
     covered: the index (kmer, v, cell); vector adds the column v for a column of k-mers. Coarse requests return all
-    members of the cells found. Requests that share their radii and metric are one search; there are as many plans as such settings.
+    members of the cells found. Requests that share their radii and metric are one search; there are as many plans as such settings, none left out.
     """
     greeted = requests.where("type = 'handshake'").select("id", F.col("type").alias("query"), F.lit(None).cast("string").alias("hit"), F.lit(None).cast("double").alias("dist"))
     asked = requests.where("type = 'search' AND query IS NOT NULL")
     default = params.coarse_radius("inner_radius", *next(iter(params.COARSE_RADIUS))) if (d, k) in params.COARSE_RADIUS else F.lit(COARSE)
     asked = asked.withColumn("outer_radius", F.coalesce("outer_radius", default))
-    settings = asked.select("search_mode", "outer_radius", "inner_radius", "inner_metric", "max_filter_misses").distinct().limit(1000).collect()
+    settings = asked.select("search_mode", "outer_radius", "inner_radius", "inner_metric", "max_filter_misses").distinct().collect()
     out = greeted
     for s in settings:
         own = asked.where(" AND ".join(f"{c} <=> {_literal(s[c])}" for c in ("search_mode", "outer_radius", "inner_radius", "inner_metric", "max_filter_misses"))).select("id", "query")

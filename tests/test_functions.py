@@ -101,6 +101,35 @@ def test_local_scores(pairs):
     assert got.tolist() == [plain_local(a, b) for a, b in pairs]
 
 
+def plain_alignment(q, t):
+    """(score, columns) of the shortest of the best local alignments, by pairs compared in order."""
+    low, add = (-10**9, 0), lambda x, s: (x[0] + s, x[1] - 1)
+    h = [[(0, 0)] * (len(t) + 1) for _ in range(len(q) + 1)]
+    e, f = ([[low] * (len(t) + 1) for _ in range(len(q) + 1)] for _ in range(2))
+    best = (0, 0)
+    for i in range(1, len(q) + 1):
+        for j in range(1, len(t) + 1):
+            e[i][j] = max(add(e[i][j - 1], -2), add(h[i][j - 1], -5))
+            f[i][j] = max(add(f[i - 1][j], -2), add(h[i - 1][j], -5))
+            s = 0 if "N" in (q[i - 1], t[j - 1]) else 2 if q[i - 1] == t[j - 1] else -3
+            h[i][j] = max((0, 0), add(h[i - 1][j - 1], s), e[i][j], f[i][j])
+            best = max(best, h[i][j])
+    return best[0], -best[1]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.text("ACGTN", max_size=25), st.text("ACGT", max_size=25)), min_size=1, max_size=8))
+def test_local_alignments(pairs):
+    score, columns = distance.local_alignments([a for a, _ in pairs], [b for _, b in pairs], at_once=3)
+    assert list(zip(score.tolist(), columns.tolist(), strict=True)) == [plain_alignment(a, b) for a, b in pairs]
+
+
+def test_columns_count_gaps():
+    core = "ACGTTGCAACGGTTAACCGTACGATCGATTGCA"
+    score, columns = distance.local_alignments(["TTT" + core[:16] + "GG" + core[16:]], ["CC" + core])
+    assert columns.tolist() == [len(core) + 2] and score.tolist() == [2 * len(core) - 7]
+
+
 @settings(max_examples=40, deadline=None)
 @given(DNA, DNA)
 def test_global_cost(a, b):
