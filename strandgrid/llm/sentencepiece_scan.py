@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,13 +40,27 @@ from pyspark.sql import functions as F
 from .common import cut
 
 GIANT, CHUNK = 32_768, 16_384  # code points of a giant text, and of a chunk
-CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 300_000, 32, 200_000
+CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 500_000, 32, 200_000
 UNKNOWN_PENALTY = 10.0  # below the least score, for a character that a unigram model lacks
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NONE = float("-inf")
 
 
+class Table(dict):
+    """Ids of words by what finds them, bounded."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, w: str) -> bytes:
+        found = self.find(w)
+        if len(w) <= CACHE_CHARS and len(self) < CACHE_WORDS:
+            self[w] = found
+        return found
+
+
 @dataclass
 class Vocabulary:
     """Pieces of a model. joined(a, b): the weight of piece b directly after piece a (None: the text begins)."""
@@ -85,7 +100,11 @@ class Vocabulary:
         shows = {2: " \u2047 ", 3: ""}
         self.shown = [bytes([int(p.piece[3:-1], 16)]) if p.type == 6 else shows.get(p.type, p.piece.replace(SPACE, " ")).encode() for p in proto.pieces]
         self.pairs: dict[tuple[str, str], float] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Table(self.word)
+        # the longest piece by its last two characters
+        self.tails: dict[str, int] = {}
+        for p in self.pieces:
+            self.tails[p[-2:]] = max(self.tails.get(p[-2:], 1), len(p))
 
     def merged(self, text: str) -> list[str]:
         """What a byte-pair model makes of a short text: the best-scored neighbours are joined, the first of equals, until none are a piece."""
@@ -134,12 +153,13 @@ class Vocabulary:
         At each place the best state before is what ends there. Of a byte-pair model it is one alone, as a path of
         weight 0 is the model's own segmentation of all up to there: the first that is found is it.
         """
-        n, longest, pieces, joined, pairs = len(w), self.longest, self.pieces, self.joined, self.pairs
+        n, tails, pieces, joined, pairs = len(w), self.tails, self.pieces, self.joined, self.pairs
         last: list[str | None] = [None] * (n + 1)
         weight = [0.0] + [NONE] * n
         for e in range(1, n + 1):
             best, own = NONE, None
-            for at in range(e - longest if e > longest else 0, e):
+            reach = tails.get(w[e - 2 : e], 1) if e > 1 else 1
+            for at in range(e - reach if e > reach else 0, e):
                 piece = w[at:e]
                 if piece in pieces or at == e - 1:
                     c = pairs.get((last[at], piece))
@@ -159,17 +179,15 @@ class Vocabulary:
 
     def word(self, w: str) -> bytes:
         """Ids of a word, part by part between places that no piece crosses."""
-        found = self.words.get(w)
-        if found is None:
-            inside = self.inside
-            cuts = [0, *[i for i in range(1, len(w)) if w[i - 1 : i + 1] not in inside], len(w)]
-            if len(cuts) == 2:
-                found = np.array(self.ids(self.scan(w)), "<u4").tobytes()
-            else:
-                found = b"".join([self.word(w[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
-            if len(w) <= CACHE_CHARS and len(self.words) < CACHE_WORDS:
-                self.words[w] = found
-        return found
+        inside = self.inside
+        cuts = [i for i in range(1, len(w)) if w[i - 1 : i + 1] not in inside]
+        if not cuts:
+            return array("I", self.ids(self.scan(w))).tobytes()
+        look, out, at = self.words.__getitem__, [], 0
+        for i in [*cuts, len(w)]:
+            out.append(look(w[at:i]))
+            at = i
+        return b"".join(out)
 
     def encode(self, escaped: str) -> bytes:
         """Ids of escaped text: word by word where no piece crosses from one to the next."""
@@ -177,7 +195,7 @@ class Vocabulary:
             return b""
         if not self.by_word or not self.fallback:
             return np.array(self.ids(self.scan(escaped)), "<u4").tobytes()
-        return b"".join(map(self.word, _WORD.findall(escaped)))
+        return b"".join(map(self.words.__getitem__, _WORD.findall(escaped)))
 
 
 _loaded: dict[str, Vocabulary] = {}
