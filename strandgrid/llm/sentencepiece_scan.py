@@ -41,9 +41,9 @@ from .common import cut
 
 GIANT, CHUNK = 32_768, 16_384  # code points of a giant text, and of a chunk
 CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 500_000, 32, 200_000
+HEAD_CHARS, CACHE_HEADS = 8, 200_000  # beginnings of words whose states are kept
 UNKNOWN_PENALTY = 10.0  # below the least score, for a character that a unigram model lacks
 SPACE = "▁"
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NONE = float("-inf")
 
 
@@ -95,12 +95,16 @@ class Vocabulary:
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         # neighbours inside any piece: between two others no piece crosses either
         self.inside = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        # characters of no longer piece, as line ends, stand by themselves: words end before them
+        inner = re.escape("".join(sorted({c for p in self.inside for c in p} - {SPACE})))
+        self.split = re.compile(f"{SPACE}*[{inner}]+|{SPACE}+|[^{inner}{SPACE}]+" if inner else f"{SPACE}+|[^{SPACE}]+").findall
         self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         # what each id stands for; unknown pieces show as the library shows them, control pieces not at all
         shows = {2: " \u2047 ", 3: ""}
         self.shown = [bytes([int(p.piece[3:-1], 16)]) if p.type == 6 else shows.get(p.type, p.piece.replace(SPACE, " ")).encode() for p in proto.pieces]
         self.pairs: dict[tuple[str, str], float] = {}
         self.words = Table(self.word)
+        self.heads: dict[str, str] = {}
         # the longest piece by its last two characters
         self.tails: dict[str, int] = {}
         for p in self.pieces:
@@ -148,16 +152,37 @@ class Vocabulary:
         return out
 
     def scan(self, w: str) -> list[str]:
-        """Pieces of a text that stands by itself: the best path, by (max, +) from left to right.
-
-        At each place the best state before is what ends there. Of a byte-pair model it is one alone, as a path of
-        weight 0 is the model's own segmentation of all up to there: the first that is found is it.
-        """
-        n, tails, pieces, joined, pairs = len(w), self.tails, self.pieces, self.joined, self.pairs
-        last: list[str | None] = [None] * (n + 1)
-        weight = [0.0] + [NONE] * n
-        for e in range(1, n + 1):
-            best, own = NONE, None
+        """Pieces of a text that stands by itself: the best path, by (max, +) from left to right."""
+        last = self.best(w) if self.unigram else self.only(w)
+        n, path = len(w), []
+        while n:
+            path.append(last[n])
+            n -= len(last[n])
+        return path[::-1]
+
+    def best(self, w: str) -> list[str | None]:
+        """The piece that ends the best path to each place."""
+        last: list[str | None] = [None] * (len(w) + 1)
+        weight = [0.0] + [NONE] * len(w)
+        for e in range(1, len(w) + 1):
+            for at in range(max(0, e - self.tails.get(w[max(0, e - 2) : e], 1)), e):
+                piece = w[at:e]
+                if piece in self.pieces or at == e - 1:
+                    c = weight[at] + self.joined(last[at], piece)
+                    if c > weight[e]:
+                        weight[e], last[e] = c, piece
+        return last
+
+    def only(self, w: str) -> list[str | None]:
+        """The same for a byte-pair model: a path of weight 0 is the model's own segmentation of all up to there, so
+        the first that is found is the best, and the state after a beginning serves all words that share it."""
+        tails, pieces, joined, pairs, heads = self.tails, self.pieces, self.joined, self.pairs, self.heads
+        last: list[str | None] = [None] * (len(w) + 1)
+        for e in range(1, len(w) + 1):
+            if e <= HEAD_CHARS:
+                last[e] = heads.get(w[:e])
+                if last[e] is not None:
+                    continue
             reach = tails.get(w[e - 2 : e], 1) if e > 1 else 1
             for at in range(e - reach if e > reach else 0, e):
                 piece = w[at:e]
@@ -165,17 +190,12 @@ class Vocabulary:
                     c = pairs.get((last[at], piece))
                     if c is None:
                         c = joined(last[at], piece)
-                    c += weight[at]
-                    if c > best:
-                        best, own = c, piece
-                        if c == 0.0 and not self.unigram:
-                            break
-            weight[e], last[e] = best, own
-        path: list[str] = []
-        while n:
-            path.append(last[n])
-            n -= len(last[n])
-        return path[::-1]
+                    if c == 0.0:
+                        last[e] = piece
+                        break
+            if e <= HEAD_CHARS and len(heads) < CACHE_HEADS:
+                heads[w[:e]] = last[e]
+        return last
 
     def word(self, w: str) -> bytes:
         """Ids of a word, part by part between places that no piece crosses."""
@@ -195,7 +215,7 @@ class Vocabulary:
             return b""
         if not self.by_word or not self.fallback:
             return np.array(self.ids(self.scan(escaped)), "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, _WORD.findall(escaped)))
+        return b"".join(map(self.words.__getitem__, self.split(escaped)))
 
 
 _loaded: dict[str, Vocabulary] = {}
