@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 GIANT, CHUNK = 32_768, 16_384  # code points of a giant text, and of a chunk
-CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 500_000, 32, 200_000
+CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 500_000, 32, 400_000
 HEAD_CHARS, CACHE_HEADS = 8, 200_000  # beginnings of words whose states are kept
 UNKNOWN_PENALTY = 10.0  # below the least score, for a character that a unigram model lacks
 SPACE = "▁"
@@ -95,9 +95,7 @@ class Vocabulary:
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         # neighbours inside any piece: between two others no piece crosses either
         self.inside = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
-        # characters of no longer piece, as line ends, stand by themselves: words end before them
-        inner = re.escape("".join(sorted({c for p in self.inside for c in p} - {SPACE})))
-        self.split = re.compile(f"{SPACE}*[{inner}]+|{SPACE}+|[^{inner}{SPACE}]+" if inner else f"{SPACE}+|[^{SPACE}]+").findall
+        self.split = re.compile(self.pattern()).findall
         self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         # what each id stands for; unknown pieces show as the library shows them, control pieces not at all
         shows = {2: " \u2047 ", 3: ""}
@@ -110,6 +108,18 @@ class Vocabulary:
         for p in self.pieces:
             self.tails[p[-2:]] = max(self.tails.get(p[-2:], 1), len(p))
 
+    def pattern(self) -> str:
+        """Words: spaces, then characters that pieces connect with each other, as letters or signs. No piece goes from one such class to another."""
+        kin: dict[str, set[str]] = {}
+        for x, y in self.inside:
+            if SPACE not in (x, y) and kin.setdefault(x, {x}) is not kin.setdefault(y, {y}):
+                kin[x] |= kin[y]
+                for c in kin[y]:
+                    kin[c] = kin[x]
+        classes = sorted({id(k): "".join(sorted(k)) for k in kin.values()}.values(), key=len, reverse=True)
+        alone = "".join(sorted({*kin, SPACE}))
+        return "|".join([*[f"{SPACE}*[{re.escape(c)}]+" for c in classes], f"{SPACE}+(?:[^{re.escape(alone)}])?", f"[^{re.escape(alone)}]+"])
+
     def merged(self, text: str) -> list[str]:
         """What a byte-pair model makes of a short text: the best-scored neighbours are joined, the first of equals, until none are a piece."""
         parts = list(text)
