@@ -257,7 +257,7 @@ def coarse_search(spark, sf):
 def vector_distances(spark, sf):
     v = vectors(spark, sf, 8)
     q = v.where("label = 1").select(F.col("vec_id").alias("query"), F.col("v").alias("a"))
-    rows = v.select(F.col("vec_id").alias("target"), F.col("v").alias("b")).join(F.broadcast(q))
+    rows = v.select(F.col("vec_id").alias("target"), F.col("v").alias("b")).join(joins.small(q))
     return rows.select("query", "target", *[F.round(dist.minkowski("a", "b", p), 6).alias(n) for p, n in ((1, "l1"), (2, "l2"), (float("inf"), "linf"), (3, "l3"))])
 
 
@@ -338,7 +338,7 @@ def all_distances(spark, sf):
 def linear_search_needle(spark, sf):
     q = windows(asked(spark, sf), "query_id", K, K).where("pos = 0").select("query_id", "pos", F.col("kmer").alias("query"))
     members = windows(contigs(spark, sf), "contig_id", K, 100).select("kmer").distinct()
-    return members.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).join(F.broadcast(q)).select("query_id", "pos", "kmer", dist.edits("query", "kmer").alias("dist"))
+    return members.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).join(joins.small(q)).select("query_id", "pos", "kmer", dist.edits("query", "kmer").alias("dist"))
 
 
 @query(f"WITH c AS ({_contigs_sql()}), s AS ({_asked_sql()}), w AS ({_windows_sql('s', 'query_id', K, K)}), t AS (SELECT DISTINCT kmer FROM ({_windows_sql('c', 'contig_id', K, 100)})), q AS (SELECT DISTINCT kmer AS query FROM w WHERE pos = 0) SELECT query, kmer, hamming(query, kmer)::BIGINT AS dist FROM q, t")
@@ -498,7 +498,7 @@ def _shared(spark, sf) -> DataFrame:
     """Positions of the windows that a query shares with a contig."""
     q = windows(asked(spark, sf), "query_id").select("query_id", F.col("pos").alias("q_start"), "kmer")
     t = windows(contigs(spark, sf), "contig_id").select("contig_id", F.col("pos").alias("t_start"), "kmer")
-    return t.join(F.broadcast(q), "kmer").select("query_id", "contig_id", "q_start", (F.col("q_start") + K).alias("q_end"), "t_start", (F.col("t_start") + K).alias("t_end"))
+    return t.join(joins.small(q), "kmer").select("query_id", "contig_id", "q_start", (F.col("q_start") + K).alias("q_end"), "t_start", (F.col("t_start") + K).alias("t_end"))
 
 
 _SHARED = f"c AS ({_contigs_sql()}), s AS ({_asked_sql()}), m AS (SELECT query_id, contig_id, q.pos AS q_start, q.pos + {K} AS q_end, t.pos AS t_start, t.pos + {K} AS t_end FROM ({_windows_sql('s', 'query_id')}) q JOIN ({_windows_sql('c', 'contig_id')}) t ON q.kmer = t.kmer)"
@@ -556,7 +556,7 @@ def _matched(spark, sf, sections: DataFrame) -> DataFrame:
     cell = F.floor((F.length("kmer") - F.length(F.replace(F.col("kmer"), F.lit("T"), F.lit("")))) / 4)
     near = search.query_windows(asked(spark, sf), K).select("query_id", "q_start", "q_end", cell.alias("cell"))
     ranges = intervals.merge_ranges(near, ["query_id", "cell"], K)
-    rows = sections.join(F.broadcast(ranges), "cell")
+    rows = sections.join(joins.small(ranges), "cell")
     return rows.select("query_id", "contig_id", "q_start", "q_end", F.col("start_coord").alias("t_start"), F.col("end_coord").alias("t_end"))
 
 
@@ -686,7 +686,7 @@ def probe_calibration(spark, sf):
     """Contigs' k-mers against probes: strand-aware distance beside the L1 distance of their transforms."""
     probes = windows(asked(spark, sf), "query_id", 64, 64).select("kmer").distinct().withColumn("r", ramanujan.rft_udf(64)("kmer"))
     rows = windows(contigs(spark, sf, 64), "contig_id", 64, 400).select("kmer").distinct().withColumn("r", ramanujan.rft_udf(64)("kmer"))
-    pairs = rows.toDF("k1", "__a").join(F.broadcast(probes.toDF("k2", "__b")))
+    pairs = rows.toDF("k1", "__a").join(joins.small(probes.toDF("k2", "__b")))
     return pairs.select("k1", "k2", dist.strand_edits("k1", "k2").alias("lev"), F.round(dist.l1("__a", "__b"), 9).alias("ram"))
 
 

@@ -13,7 +13,7 @@ from ..operators.bloom import qgram_filter, qgram_threshold
 from ..operators.grid import cells as cells_of
 from ..operators.grid import slack
 from ..operators.intervals import condense, merge_ranges, sequence_range, slop
-from ..operators.joins import ball_join, ball_self_join
+from ..operators.joins import ball_join, ball_self_join, small
 
 QGRAM = 7
 
@@ -48,7 +48,7 @@ def linear_search(queries: DataFrame, members: DataFrame, metric: str = "needle"
     """(query, kmer, dist): every query against every row. The queries are a stated set, small beside the rows, which stay where they are."""
     dist = {"needle": edits, "hamming": hamming}[metric]("query", "kmer")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.select("kmer").repartition(n).join(F.broadcast(queries.select("query"))).withColumn("dist", dist)
+    return members.select("kmer").repartition(n).join(small(queries.select("query"))).withColumn("dist", dist)
 
 
 def query_windows(queries: DataFrame, k: int, query: str = "query_id", seq: str = "seq") -> DataFrame:
@@ -91,7 +91,7 @@ def ssw_search(queries: DataFrame, targets: DataFrame, identity: float, least: i
     """(query_id, target_id, score, aln_len): Smith-Waterman of a stated set of queries against all targets. aln_len: the columns of the
     alignment, gaps included; score: in per cent of the best that so many bases can have. Both must be met."""
     queries = queries.select("query_id", F.col("seq").alias("__q"))
-    rows = targets.select("target_id", F.col("seq").alias("__t")).join(F.broadcast(queries))
+    rows = targets.select("target_id", F.col("seq").alias("__t")).join(small(queries))
     # each column of an alignment has a base of one of the two
     rows = rows.where(F.length("__q") + F.length("__t") >= least)
     rows = rows.withColumn("__a", smith_waterman_aligned("__q", "__t"))
@@ -147,6 +147,6 @@ def distance_table(queries: DataFrame, targets: DataFrame, sub_ks: tuple[int, ..
     """(query, target, needle, subk_*, *_euc, *_manhattan): a stated set of queries against all targets; vectors: name to (column of the query, of the target)."""
     from ..functions.distance import containment, l1, l2
 
-    rows = targets.join(F.broadcast(queries))
+    rows = targets.join(small(queries))
     extra = [f(q, t).alias(f"{n}_{kind}") for n, (q, t) in vectors.items() for kind, f in (("euc", l2), ("manhattan", l1))]
     return rows.select("query", "target", edits("query", "target").alias("needle"), *[containment("query", "target", q).alias(f"subk_{q}") for q in sub_ks], *extra)
