@@ -36,3 +36,15 @@ def test_slop_windows_backwards(spark, tables):
     sf = tables(documents=[second + "aaccatgga" * 12 + first], benchmark=[first + "gat" + second])
     assert check(spark, "slop_windows", sf)
     assert any(r["tend"] < r["tstart"] and r["tseq"] for r in catalog.queries()["slop_windows"](spark, sf).collect())
+
+
+def test_language_states_without_training():
+    """The lean pass of prediction gives the states that training keeps, bit for bit."""
+    import numpy as np
+
+    from strandgrid.llm.langid import Network
+
+    net, g = Network(3), np.random.default_rng(1)
+    x = g.integers(0, 256, (20, 70))
+    mask = np.arange(70) < g.integers(0, 71, 20)[:, None]
+    assert np.array_equal(net.states(x, mask), net.states(x, mask, []))
