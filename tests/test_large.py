@@ -48,3 +48,18 @@ def test_language_states_without_training():
     x = g.integers(0, 256, (20, 70))
     mask = np.arange(70) < g.integers(0, 71, 20)[:, None]
     assert np.array_equal(net.states(x, mask), net.states(x, mask, []))
+
+
+@pytest.mark.parametrize("d", [1, 2, 5])
+def test_block_join(spark, d):
+    """Products of matrices find the pairs that the grid finds; rows without key, number or like length are in none."""
+    import numpy as np
+
+    from strandgrid.operators import joins
+
+    v = np.random.default_rng(d).normal(0, 3, (400, d)).tolist()
+    odd = [(None, v[0]), (900, None), (901, [None] * d), (902, [float("nan")] * d), (903, [float("inf")] * d), (904, v[0] + [1.0]), (905, v[0] + [1.0]), (906, [1e200] * d), (907, [1e200] * d), (7, v[7])]
+    rows = spark.createDataFrame([*enumerate(v), *odd], "id long, v array<double>")
+    got = {tuple(r) for r in joins.block_self_join(rows, 0.7, "id", most=150).collect()}
+    want = {tuple(r) for r in joins.ball_self_join(rows.where("id not in (900, 901, 902, 903, 906, 907)"), 0.7, "id", dims=1).collect()}
+    assert got == want | {(906, 907, 0.0)} and (904, 905, 0.0) in got and len(got) >= 4
