@@ -63,3 +63,43 @@ def test_block_join(spark, d):
     got = {tuple(r) for r in joins.block_self_join(rows, 0.7, "id", most=150).collect()}
     want = {tuple(r) for r in joins.ball_self_join(rows.where("id not in (900, 901, 902, 903, 906, 907)"), 0.7, "id", dims=1).collect()}
     assert got == want | {(906, 907, 0.0)} and (904, 905, 0.0) in got and len(got) >= 4
+
+
+def test_one_text_against_many():
+    """Bit vectors and masks against the plain definitions, for all lengths and letters."""
+    import numpy as np
+
+    from strandgrid.functions import distance
+
+    g = np.random.default_rng(3)
+    some = ["".join(g.choice(list("ACGTN"), n)) for n in [0, 1, 5, 31, 31, 32, 32, 33, 63, 64, 64, 65, 80] * 3] + ["é" * 7, "acgt"]
+    edits, hamming = distance.to_all(some, some, "edits"), distance.to_all(some, some, "hamming")
+    for i, a in enumerate(some):
+        for j, b in enumerate(some):
+            assert edits[i, j] == distance.plain_edits(a, b), (a, b)
+            assert hamming[i, j] == sum(x != y for x, y in zip(a, b)), (a, b)  # noqa: B905
+
+
+def test_planes(spark):
+    from pyspark.sql import functions as F
+
+    from strandgrid.functions import distance
+
+    rows = spark.createDataFrame([("ACGTN" * 12, "NACGT" * 12), ("", ""), ("A" * 62, "N" * 62), ("T", "T")], "a string, b string")
+    rows = rows.select(distance.hamming("a", "b").alias("x"), distance.hamming_of_planes(distance.planes("a"), distance.planes("b")).alias("y"))
+    assert [r["x"] for r in rows.collect()] == [r["y"] for r in rows.collect()] == [60, 0, 62, 0]
+    assert rows.where(F.col("x") != F.col("y")).count() == 0
+
+
+def test_probe_calibration_is_plain(spark, sf):
+    """The kernel's distances against those of built-in expressions."""
+    from pyspark.sql import functions as F
+
+    from strandgrid.functions import distance, ramanujan
+
+    got = catalog.queries()["probe_calibration"](spark, sf).where("crc32(k1) % 40 = 0")
+    r = ramanujan.rft_udf(64)
+    want = got.select("k1", "k2").withColumn("a", r("k1")).withColumn("b", r("k2"))
+    want = want.select("k1", "k2", distance.strand_edits("k1", "k2").alias("lev"), F.round(distance.l1("a", "b"), 9).alias("ram"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.schema.simpleString() == want.schema.simpleString()
