@@ -103,3 +103,25 @@ def test_probe_calibration_is_plain(spark, sf):
     want = want.select("k1", "k2", distance.strand_edits("k1", "k2").alias("lev"), F.round(distance.l1("a", "b"), 9).alias("ram"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.schema.simpleString() == want.schema.simpleString()
+
+
+def test_rotation_dists_of_odd_vectors(spark, tables):
+    """Large, small and tied values, and copies, as in the SQL; no row for each pair goes through a loop."""
+    v = [[0.5 * i] * 64 for i in range(6)] + [[1e-7] * 64, [2.5e-6, *[0.0] * 63], [1e12] * 64, [0.0] * 64, [0.0] * 64]
+    sf = tables(embeddings=[(i % 2, x) for i, x in enumerate(v)])
+    assert check(spark, "rotation_dists", sf) == 25
+
+
+def test_qgrams_shared(spark):
+    """Counts of batches against the join, for repeated windows, short rows and few queries at once."""
+    import numpy as np
+
+    from strandgrid.operators import bloom
+
+    g = np.random.default_rng(2)
+    some = sorted({"".join(g.choice(list("ACGTN"), int(n), p=[0.4, 0.4, 0.1, 0.05, 0.05])) for n in g.integers(1, 40, 300)})
+    q, m = spark.createDataFrame([(x,) for x in some[::3]], "query string"), spark.createDataFrame([(x,) for x in some], "kmer string")
+    for least in (1, 5):
+        got = bloom.qgrams_shared(q, m, 3, least)
+        want = bloom.qgram_counts(q, m, 3).where(f"n >= {least}")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == want.columns
