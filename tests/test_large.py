@@ -125,3 +125,21 @@ def test_qgrams_shared(spark):
         got = bloom.qgrams_shared(q, m, 3, least)
         want = bloom.qgram_counts(q, m, 3).where(f"n >= {least}")
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == want.columns
+
+
+def test_implicit_matrix_against_grid(spark):
+    """The pairs of the grid, and of equal vectors at radius 0."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from strandgrid.operators import joins
+    from strandgrid.plans import search
+
+    g = np.random.default_rng(6)
+    rows = spark.createDataFrame([("".join(g.choice(list("ACGT"), 32)), g.integers(-3, 4, 4).astype(float).tolist()) for _ in range(300)], "kmer string, v array<double>")
+    for radius in (0.0, 1.5):
+        got = {tuple(r) for r in search.implicit_matrix(rows, radius).select("k1", "k2").collect()}
+        want = {tuple(r) for r in joins.ball_self_join(rows, radius, "kmer").select("kmer_1", "kmer_2").collect()}
+        assert got == want and got
+    pairs = search.implicit_matrix(rows, 1.5)
+    assert pairs.where(F.col("dist") != F.levenshtein("k1", "k2")).count() == 0
