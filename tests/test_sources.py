@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandgrid import cli
-from strandgrid.functions.sequence import base_counts
+from strandgrid.functions.sequence import base_counts, explode_kmers
 from strandgrid.operators import grid
 from strandgrid.sources import dna, index
 from strandgrid.streaming import server
@@ -108,3 +108,14 @@ def test_command_line(spark, fasta, tmp_path):
     assert spark.read.csv(str(tmp_path / "p"), header=True).where("lev = 0").count() > 0
     with pytest.raises(SystemExit):
         run("stats", "nothing")
+
+
+def test_kmers_of_texts(spark):
+    from strandgrid.sources.dna import contigs_of, kmers_of_texts
+
+    texts = ["Lorem ipsum dolor sit amet, consectetur " * 9, "ÄöKK É" * 20, "", None, "abc", "z" * 31, "a1b2\n" * 40]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for k, gap in ((31, 100), (5, 1), (7, 3)):
+        want = {r["kmer"] for r in explode_kmers(contigs_of(docs, "doc_id"), k, gap).select("kmer").collect()}
+        got = [r["kmer"] for r in kmers_of_texts(docs, k, gap).collect()]
+        assert want and sorted(got) == sorted(want)
