@@ -143,3 +143,27 @@ def test_implicit_matrix_against_grid(spark):
         assert got == want and got
     pairs = search.implicit_matrix(rows, 1.5)
     assert pairs.where(F.col("dist") != F.levenshtein("k1", "k2")).count() == 0
+
+
+def test_first_matches_of_many_sections(spark, tables):
+    """Contigs with far more sections in a cell than the cap, short ones, and repeated keys; no section is shuffled."""
+    import random
+
+    g = random.Random(7)
+    texts = ["".join(g.choice("acgt") for _ in range(n)) for n in (4000, 31, 30, 700, 90, 5000)] + ["", "t" * 300 + "a" * 300, "Aé c.G\n" * 60]
+    asked = ["".join(g.choice("acgt") for _ in range(n)) for n in (900, 40, 61, 200)] + ["t" * 90 + "a" * 500 + "t" * 90, texts[0][100:400]]
+    sf = tables(documents=texts, benchmark=asked)
+    assert check(spark, "contig_matches", sf)
+    run = catalog.queries()["contig_matches"]
+    plan = run(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    again = docs.collect() + docs.limit(1).collect() + [(None, texts[3], "en", "made", 700), (None, texts[4], "en", "made", 90)]
+    twice = f"{sf}/twice"
+    os.makedirs(twice)
+    for name in oracle.TABLES:
+        if name != "documents":
+            os.symlink(f"{sf}/{name}.parquet", f"{twice}/{name}.parquet")
+    spark.createDataFrame(again, docs.schema).coalesce(1).write.parquet(f"{twice}/documents.parquet")
+    assert run(spark, twice).where("contig_id IS NULL").count() > 0
+    assert run(spark, twice).where("contig_id > 0").exceptAll(run(spark, sf)).count() == 0
