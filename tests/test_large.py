@@ -167,3 +167,18 @@ def test_first_matches_of_many_sections(spark, tables):
     spark.createDataFrame(again, docs.schema).coalesce(1).write.parquet(f"{twice}/documents.parquet")
     assert run(spark, twice).where("contig_id IS NULL").count() > 0
     assert run(spark, twice).where("contig_id > 0").exceptAll(run(spark, sf)).count() == 0
+
+
+def test_vector_distances_of_many_queries(spark, tables, monkeypatch):
+    """More queries than are sent to all tasks at once: part by part, without a product of partitions, which goes by the disk."""
+    import numpy as np
+
+    from strandgrid.operators import joins
+
+    g = np.random.default_rng(3)
+    sf = tables(embeddings=[(i % 3, g.random(64).astype("float32").tolist()) for i in range(60)])
+    monkeypatch.setattr(joins.small, "__defaults__", (7,))
+    monkeypatch.setattr(joins.in_parts, "__defaults__", (7,))
+    assert check(spark, "vector_distances", sf) == 20 * 60
+    df = catalog.queries()["vector_distances"](spark, sf)
+    assert df.count() == 20 * 60 and "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
