@@ -22,6 +22,8 @@ from .matches import _places
 
 #: Bytes of texts (or one text) that are looked at together; windows that are projected at once; alignments that are bounded, and made, at once.
 BYTES, WINDOWS, BOUNDED, ALIGNED = 1 << 20, 1 << 14, 1 << 12, 1 << 11
+#: Bases of targets that are held for these: without a cap a match may be a long chain.
+BASES = 1 << 23
 #: Windows of queries, and matches with a batch, that one task holds.
 MOST_WINDOWS = 1 << 14
 _FILTER = 1 << 22
@@ -115,8 +117,8 @@ class Near:
         self.maybe[_slot(self.keys)] = True
 
 
-def matches_of(codes: np.ndarray, at: np.ndarray, project: Projection, near: Near, cap: int) -> tuple[np.ndarray, ...]:
-    """(text, query number, q_start, q_end, t_start, t_end): what ``search.contig_matches`` finds in texts that begin at ``at`` of the codes."""
+def matches_of(codes: np.ndarray, at: np.ndarray, project: Projection, near: Near, cap: int | None = None) -> tuple[np.ndarray, ...]:
+    """(text, query number, q_start, q_end, t_start, t_end): what ``search.contig_matches`` finds in texts that begin at ``at`` of the codes, with cap as there."""
     k = project.k
     found, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     for lo in range(0, max(len(codes) - k + 1, 0), WINDOWS):
@@ -147,8 +149,9 @@ def matches_of(codes: np.ndarray, at: np.ndarray, project: Projection, near: Nea
     text, query, qs, qe, ts, te = (x[order] for x in rows)
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (query[1:] != query[:-1])
-    kept = _places(np.diff(np.append(np.flatnonzero(new), len(new)))) < cap
-    text, query, qs, qe, ts, te, new = (x[kept] for x in (text, query, qs, qe, ts, te, new))
+    if cap:
+        kept = _places(np.diff(np.append(np.flatnonzero(new), len(new)))) < cap
+        text, query, qs, qe, ts, te, new = (x[kept] for x in (text, query, qs, qe, ts, te, new))
     new[1:] |= (qs[1:] > qe[:-1] + k) | (ts[1:] > te[:-1] + k)
     a = np.flatnonzero(new)
     b = np.append(a[1:], len(new)) - 1
@@ -171,13 +174,21 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _together(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Parts of so many rows at most, of ``BASES`` at most if all were as long as the longest, one row at least."""
+    lo = 0
+    while lo < len(sizes):
+        hi = lo + max(1, min(most, BASES // max(1, int(sizes[lo : lo + most].max()))))
+        yield slice(lo, hi)
+        lo = hi
+
+
 def may_reach(query: np.ndarray, qs: np.ndarray, qe: np.ndarray, target: np.ndarray, ts: np.ndarray, te: np.ndarray, identity: float) -> np.ndarray:
     """Which of the pairs of ranges of two arrays of codes have the q-grams in common that an alignment of so many per cent has."""
     of_query, of_target = _grams(query), _grams(target)
     need = _needed(qe - qs, identity)
     out = np.ones(len(qs), bool)
-    for lo in range(0, len(qs), BOUNDED):
-        some = slice(lo, lo + BOUNDED)
+    for some in _together(te - ts, BOUNDED):
         nt, nq = np.maximum(te[some] - ts[some] - _Q + 1, 0), np.maximum(qe[some] - qs[some] - _Q + 1, 0)
         has = np.zeros(len(nt) << 2 * _Q, bool)
         row = np.arange(len(nt), dtype=np.int64) << 2 * _Q
@@ -193,8 +204,8 @@ def _best_scores(query: np.ndarray, qs: np.ndarray, qe: np.ndarray, target: np.n
     """Best Smith-Waterman score of each pair of ranges, those of query of 8192 bases at most: anti-diagonals as in ``local_alignments``, in 8 or 16 bits, pairs side by side."""
     out = np.zeros(len(qs), np.int64)
     order = np.lexsort((te - ts, qe - qs))
-    for lo in range(0, len(order), ALIGNED):
-        own = order[lo : lo + ALIGNED]
+    for some in _together((te - ts)[order], ALIGNED):
+        own = order[some]
         lq, lt = (qe - qs)[own], (te - ts)[own]
         m, n = int(lq.max()), int(lt.max())
         if not m or not n:
@@ -242,7 +253,7 @@ def near_enough(query: np.ndarray, qs: np.ndarray, qe: np.ndarray, target: np.nd
     return _best_scores(query, qs, qs + cut, target, ts, te) + MATCH * (n - cut) >= least
 
 
-def contig_search(contigs: DataFrame, queries: list[tuple], windows: list[tuple], model: dict, d: int, radius: float, side: float, identity: float, query_type: str, cap: int = 20, query: str = "query_id", contig: str = "contig_id", text: str = "text") -> DataFrame:
+def contig_search(contigs: DataFrame, queries: list[tuple], windows: list[tuple], model: dict, d: int, radius: float, side: float, identity: float, query_type: str, cap: int | None = None, query: str = "query_id", contig: str = "contig_id", text: str = "text") -> DataFrame:
     """(query, contig, score, qstart, qend, tstart, tend): ``search.contig_search`` of queries (key, seq), of A, C, G and T, and their windows (key, q_start, q_end, vector)
     against the DNA of whole texts (contig, text). Keys differ."""
     names = [query, contig, "score", "qstart", "qend", "tstart", "tend"]

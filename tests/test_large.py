@@ -182,3 +182,21 @@ def test_vector_distances_of_many_queries(spark, tables, monkeypatch):
     assert check(spark, "vector_distances", sf) == 20 * 60
     df = catalog.queries()["vector_distances"](spark, sf)
     assert df.count() == 20 * 60 and "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contig_search_of_many_matches(spark, tables, monkeypatch):
+    """A place that comes after any number of other matches of its query with the contig is found, whatever is aligned at once, by the joins as well."""
+    import random
+
+    from strandgrid.operators import contigsearch
+
+    g = random.Random(9)
+    some = lambda n: "".join(g.choice("abcd") for _ in range(n))
+    asked = [some(150) for _ in range(3)]
+    before = "".join(asked[0][:31] + some(80) for _ in range(40))
+    sf = tables(documents=[before + some(600) + asked[0][60:], "".join(asked)], benchmark=asked)
+    run = lambda: sorted(map(tuple, catalog.queries()["contig_search"](spark, sf).collect()))
+    got = run()
+    assert any(r[:2] == (0, 0) and len(before) + 500 < r[5] for r in got)
+    monkeypatch.setattr(contigsearch, "MOST_WINDOWS", 0)
+    assert run() == got
