@@ -200,3 +200,23 @@ def test_contig_search_of_many_matches(spark, tables, monkeypatch):
     assert any(r[:2] == (0, 0) and len(before) + 500 < r[5] for r in got)
     monkeypatch.setattr(contigsearch, "MOST_WINDOWS", 0)
     assert run() == got
+
+
+def test_grid_search_hamming_of_all_windows(spark, tables, monkeypatch):
+    """Windows at any place of a query and of a contig, over the borders of pieces and of diagonals, repeats and short texts; and by the joins."""
+    import random
+
+    from strandgrid.operators import sliding
+
+    g = random.Random(4)
+    some = lambda n: "".join(g.choice("abcd") for _ in range(n))
+    asked = [some(n) for n in (31, 30, 150, 333, 70)] + ["ab" * 40, ""]
+    noisy = lambda s: "".join(g.choice("abcd") if g.random() < 0.3 else x for x in s)
+    texts = [some(57) + noisy(asked[3]) + some(13) + noisy(asked[2]), asked[0], noisy(asked[3])[:200], "a" * 90, "", "ab" * 45, asked[2][:30], "É" + asked[4][30:] + asked[0]]
+    sf = tables(documents=texts, benchmark=asked)
+    for piece, diagonals, measured in ((256, 1 << 18, 1 << 18), (7, 128, 100)):
+        for name, x in (("PIECE", piece), ("DIAGONALS", diagonals), ("MEASURED", measured)):
+            monkeypatch.setattr(sliding, name, x)
+        assert check(spark, "grid_search_hamming", sf) > 300
+    monkeypatch.setattr(sliding, "MOST_BASES", 0)
+    assert check(spark, "grid_search_hamming", sf) > 300
