@@ -220,3 +220,19 @@ def test_grid_search_hamming_of_all_windows(spark, tables, monkeypatch):
         assert check(spark, "grid_search_hamming", sf) > 300
     monkeypatch.setattr(sliding, "MOST_BASES", 0)
     assert check(spark, "grid_search_hamming", sf) > 300
+
+
+def test_probe_calibration_of_all_windows(spark, tables):
+    """Each different window of 64 bases of each contig meets each probe once."""
+    import random
+
+    g = random.Random(6)
+    some = lambda n: "".join(g.choice("acgt") for _ in range(n))
+    texts = [some(n) for n in (300, 64, 63)] + ["ac" * 60, ""]
+    asked = [some(130), some(70), some(40)]
+    sf = tables(documents=texts, benchmark=asked)
+    to_dna = str.maketrans("acgt", "AGGT")  # c and g are both a third letter of four
+    k1 = {t[i : i + 64].translate(to_dna) for t in texts for i in range(len(t) - 63)}
+    k2 = {t[i : i + 64].translate(to_dna) for t in asked for i in range(0, len(t) - 63, 64)}
+    got = [tuple(r) for r in catalog.queries()["probe_calibration"](spark, sf).select("k1", "k2").collect()]
+    assert len(got) == len(set(got)) == len(k1) * len(k2) and set(got) == {(a, b) for a in k1 for b in k2}
