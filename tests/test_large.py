@@ -236,3 +236,18 @@ def test_probe_calibration_of_all_windows(spark, tables):
     k2 = {t[i : i + 64].translate(to_dna) for t in asked for i in range(0, len(t) - 63, 64)}
     got = [tuple(r) for r in catalog.queries()["probe_calibration"](spark, sf).select("k1", "k2").collect()]
     assert len(got) == len(set(got)) == len(k1) * len(k2) and set(got) == {(a, b) for a in k1 for b in k2}
+
+
+def test_implicit_matrix_of_many_parts(spark, sf, monkeypatch):
+    """The same pairs whatever the number of parts, and no shuffle of all vectors for each of them."""
+    import re
+
+    from strandgrid.operators import joins
+
+    run = catalog.queries()["implicit_matrix"]
+    want = sorted(map(tuple, run(spark, sf).collect()))
+    monkeypatch.setattr(joins.block_self_join, "__defaults__", ("v", 1000, *joins.block_self_join.__defaults__[2:]))
+    df = run(spark, sf)
+    parts = re.findall(r"MapInArrow run.*?InMemoryTableScan", df._jdf.queryExecution().executedPlan().toString(), re.S)
+    assert len(parts) > 2 and not any("Exchange" in x for x in parts)
+    assert want and sorted(map(tuple, df.collect())) == want
